@@ -24,16 +24,10 @@ def name_uuid(text: Column) -> Column:
     MD5 of the bytes with the version nibble set to 3 and the variant bits set
     to 10, printed in canonical lower-case form.  Null in, null out.
     """
-    h = F.md5(text.cast("binary"))
-    formatted = F.concat(
-        F.substring(h, 1, 8), F.lit("-"),
-        F.substring(h, 9, 4), F.lit("-3"),
-        F.substring(h, 14, 3), F.lit("-"),
-        F.translate(F.substring(h, 17, 1), _VARIANT_FROM, _VARIANT_TO),
-        F.substring(h, 18, 3), F.lit("-"),
-        F.substring(h, 21, 12),
-    )
-    return F.when(text.isNotNull(), formatted)
+    dashed = F.regexp_replace(F.md5(text.cast("binary")),
+                              r"^(.{8})(.{4}).(.{3})(.)(.{3})(.{12})$", "$1-$2-3$3-$4$5-$6")
+    variant = F.translate(F.substring(dashed, 20, 1), _VARIANT_FROM, _VARIANT_TO)
+    return F.overlay(dashed, variant, 20, 1)
 
 
 def is_canonical_uuid(text: Column) -> Column:

@@ -34,8 +34,8 @@ PATH_OUT = ["cand_event_id", "cand_ingested_at", "cand_transaction_id", "primary
 def cycle_candidates(events: DataFrame, cfg: CycleConfig = DEFAULT_CYCLE) -> DataFrame:
     """Every validated event searched as a closing edge (replays search again)."""
     x = F.col("amount_minor")
-    slack = F.try_divide(F.try_multiply(x, F.lit(cfg.tolerance_percent).cast("long")), F.lit(100))
-    slack = F.floor(slack).cast("long")
+    # integer arithmetic as in the reference; an overflowing product gives null (no match)
+    slack = F.expr(f"try_multiply(amount_minor, CAST({int(cfg.tolerance_percent)} AS BIGINT)) div 100")
     bucket_us = cfg.window_seconds * 1_000_000
     tmin = shift_micros(F.col("occurred_at"), F.lit(-bucket_us))
     return events.select(
@@ -147,7 +147,7 @@ def circular_alerts(paths: DataFrame) -> DataFrame:
     arrival and path), so later emissions of a key count as duplicates.
     """
     key = F.concat(F.lit(CIRCULAR_FLOW + "_"), F.array_join(F.array_sort("path_accounts"), "_"))
-    emission = F.concat_ws("|", key, F.col("cand_event_id"), F.col("cand_ingested_at").cast("string"),
+    emission = F.concat_ws("|", key, F.col("cand_event_id"), epoch_micros(F.col("cand_ingested_at")).cast("string"),
                            F.array_join("path_transactions", ","), F.array_join("path_currencies", ","))
     return paths.select(
         name_uuid(emission).alias("alert_id"),

@@ -75,7 +75,7 @@ def epoch_us(ts: str) -> str:
 
 def window_start(ts: str, seconds: str) -> str:
     """Epoch-aligned window start, keeping microseconds exact."""
-    return f"make_timestamp(({epoch_us(ts)} // ({seconds}*1000000)) * ({seconds}*1000000))"
+    return f"make_timestamp(({epoch_us(ts)} // (CAST({seconds} AS BIGINT)*1000000)) * (CAST({seconds} AS BIGINT)*1000000))"
 
 
 def activity_cte(rules) -> str:

@@ -39,6 +39,7 @@ def build_session(master: str | None = None, app: str = "flowwatch",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": str(shuffle_partitions or 8),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.driver.memory": os.environ.get("FLOWWATCH_DRIVER_MEMORY", "16g"),
     })
     conf.update(extra or {})
     for key, value in conf.items():

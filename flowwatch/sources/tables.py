@@ -75,7 +75,18 @@ def transaction_events(events: DataFrame) -> DataFrame:
 
 
 def load_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw transaction events derived from ``events`` (only the columns used)."""
-    events = read_table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value", "props")
-    return transaction_events(events)
+    """Raw transaction events derived from ``events``, staged once per source."""
+    from flowwatch.sources.staging import staged
+
+    def build():
+        events = read_table(spark, sf_dir, "events").select(
+            "event_id", "ts", "user_id", "event_type", "value", "props")
+        return transaction_events(events)
+    return staged(spark, "transaction_events", sf_dir, build)
+
+
+def load_base_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One transaction per ``events`` row (with its ``id``), staged once."""
+    from flowwatch.sources.staging import staged
+    return staged(spark, "base_transactions", sf_dir,
+                  lambda: base_transactions(read_table(spark, sf_dir, "events")))
