@@ -115,20 +115,28 @@ def _amount_crossing(ev: DataFrame, rules) -> DataFrame | None:
 
 
 def crossings(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
-    """Firing groups' crossing arrival, and the events of the firing groups."""
+    """Crossing arrival of every firing group, and the windowed rows.
+
+    One aggregation per ``(group, counterparty)`` (first arrival, count, sum)
+    feeds both the whole-window totals that decide whether a group fires and
+    the distinct-count crossing, so the rows are shuffled once for both.
+    """
     rules = tuple(rules)
     w = windowed(activity, rules).withColumn("arr", arrival())
-    fired = window_final(activity, rules).select(*GROUP)
-    ev = w.join(fired, GROUP, "left_semi")
-    first_seen = ev.groupBy(*GROUP, "counterparty").agg(F.min("arr").alias("arr"))
-    parts = [_kth(first_seen, rules, "min_distinct", "_p_distinct"),
-             _kth(ev, rules, "min_count", "_p_count"),
-             _amount_crossing(ev, rules)]
+    per_cp = w.groupBy(*GROUP, "counterparty").agg(
+        F.min("arr").alias("arr"), F.count(F.lit(1)).alias("_n"), F.sum("amount_minor").alias("_s"))
+    totals = per_cp.groupBy(*GROUP).agg(
+        F.count(F.lit(1)).alias("_d"), F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    fired = totals.where(_fires(rules, F.col("_d"), F.col("_n"), F.col("_s"))).select(*GROUP)
+    parts = [_kth(per_cp.join(fired, GROUP, "left_semi"), rules, "min_distinct", "_p_distinct")]
+    if any(r.min_count > 0 or r.min_amount > 0 for r in rules):
+        ev = w.join(fired, GROUP, "left_semi")
+        parts += [_kth(ev, rules, "min_count", "_p_count"), _amount_crossing(ev, rules)]
     parts = [p for p in parts if p is not None]
     joined = reduce(lambda l, r: l.join(r, GROUP, "left"), parts)
     names = [c for c in joined.columns if c.startswith("_p_")]
     point = F.greatest(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0])
-    return joined.select(*GROUP, point.alias("crossing")), ev
+    return joined.select(*GROUP, point.alias("crossing")), w
 
 
 def identity(df: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES) -> DataFrame:
