@@ -72,26 +72,50 @@ def edge_report(edge_df: DataFrame) -> DataFrame:
     return edge_df.select("src", "dst", "currency", "transaction_count", "total_amount_minor")
 
 
-def edge_versions(events: DataFrame) -> DataFrame:
+def edge_versions(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """State of each edge after each of its events, valid between arrivals.
 
     A version made by the event arriving at ``valid_from`` is what a reader
     arriving in ``(valid_from, valid_to]`` sees; ``valid_to`` is the next
     arrival on the same edge, null for the current version.
+
+    Running aggregates are two-level so that one very busy edge is not one
+    task: per ``(edge, arrival bucket)`` partial aggregates, a running merge
+    over the bucket table (one row per edge and bucket), and running
+    aggregates inside each bucket only.  All attributes are associative.
     """
-    rows = _edge_rows(events).withColumn("arr", arrival()).withColumn("_lo", _latest_order())
-    upto = Window.partitionBy(*EDGE_KEY).orderBy("arr").rowsBetween(Window.unboundedPreceding, 0)
-    nxt = Window.partitionBy(*EDGE_KEY).orderBy("arr")
-    latest = F.min(F.struct(F.col("_lo"), F.col("transaction_id"), F.col("occurred_at"))).over(upto)
-    return (rows.select(
-        *EDGE_KEY,
-        F.min("occurred_at").over(upto).alias("first_seen"),
-        F.max("occurred_at").over(upto).alias("last_seen"),
-        F.count(F.lit(1)).over(upto).alias("transaction_count"),
-        F.sum("amount_minor").over(upto).alias("total_amount_minor"),
-        latest.alias("_l"),
-        F.col("arr").alias("valid_from"),
-        F.lead("arr").over(nxt).alias("valid_to"))
-        .select(*EDGE_KEY, "first_seen", "last_seen", "transaction_count", "total_amount_minor",
-                F.col("_l.transaction_id").alias("latest_transaction_id"),
-                F.col("_l.occurred_at").alias("latest_occurred_at"), "valid_from", "valid_to"))
+    width = bucket_seconds * 1_000_000
+    rows = (_edge_rows(events).withColumn("arr", arrival())
+            .withColumn("_lo", F.struct(_latest_order().alias("o"), F.col("transaction_id"), F.col("occurred_at")))
+            .withColumn("_b", F.floor(epoch_micros(F.col("ingested_at")) / width)))
+    per_bucket = rows.groupBy(*EDGE_KEY, "_b").agg(
+        F.min("occurred_at").alias("_bmin"), F.max("occurred_at").alias("_bmax"),
+        F.count(F.lit(1)).alias("_bn"), F.sum("amount_minor").alias("_bs"),
+        F.min("_lo").alias("_bl"), F.min("arr").alias("_bfirst"))
+    before = Window.partitionBy(*EDGE_KEY).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    by_bucket = Window.partitionBy(*EDGE_KEY).orderBy("_b")
+    prior = per_bucket.select(
+        *EDGE_KEY, "_b",
+        F.min("_bmin").over(before).alias("_pmin"), F.max("_bmax").over(before).alias("_pmax"),
+        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_pn"),
+        F.coalesce(F.sum("_bs").over(before), F.lit(0)).alias("_ps"),
+        F.min("_bl").over(before).alias("_pl"),
+        F.lead("_bfirst").over(by_bucket).alias("_next_bucket_first"))
+    upto = Window.partitionBy(*EDGE_KEY, "_b").orderBy("arr").rowsBetween(Window.unboundedPreceding, 0)
+    nxt = Window.partitionBy(*EDGE_KEY, "_b").orderBy("arr")
+    inside = rows.select(
+        *EDGE_KEY, "_b", "arr",
+        F.min("occurred_at").over(upto).alias("_rmin"), F.max("occurred_at").over(upto).alias("_rmax"),
+        F.count(F.lit(1)).over(upto).alias("_rn"), F.sum("amount_minor").over(upto).alias("_rs"),
+        F.min("_lo").over(upto).alias("_rl"), F.lead("arr").over(nxt).alias("_next"))
+    latest = F.least("_pl", "_rl")
+    return (inside.join(prior, EDGE_KEY + ["_b"])
+            .select(*EDGE_KEY,
+                    F.least("_pmin", "_rmin").alias("first_seen"),
+                    F.greatest("_pmax", "_rmax").alias("last_seen"),
+                    (F.col("_pn") + F.col("_rn")).alias("transaction_count"),
+                    (F.col("_ps") + F.col("_rs")).alias("total_amount_minor"),
+                    latest["transaction_id"].alias("latest_transaction_id"),
+                    latest["occurred_at"].alias("latest_occurred_at"),
+                    F.col("arr").alias("valid_from"),
+                    F.coalesce("_next", "_next_bucket_first").alias("valid_to")))

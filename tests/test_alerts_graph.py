@@ -75,3 +75,12 @@ def test_edge_versions_as_of(events):
     assert [(r.transaction_count, r.total_amount_minor, r.latest_transaction_id) for r in v] == \
         [(1, 1000, "t1"), (2, 3500, "t2")]
     assert v[0].valid_to == v[1].valid_from and v[1].valid_to is None
+
+
+def test_edge_versions_bucket_split_is_exact(spark):
+    from flowwatch.operators import normalise
+    from flowwatch.sources.tables import load_transactions
+    upd = graph.processed(normalise.validated(load_transactions(spark, "/root/testdata/sf0.001")))
+    fine = sorted(tuple(r) for r in graph.edge_versions(upd, bucket_seconds=1).collect())
+    coarse = sorted(tuple(r) for r in graph.edge_versions(upd, bucket_seconds=10 ** 8).collect())
+    assert fine == coarse and len(fine) > 900
