@@ -44,8 +44,8 @@ ACTIVITY_PAYLOAD = ["event_id", "transaction_id", "amount_minor", "currency",
 def activity(events: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES) -> DataFrame:
     """Long form ``(rule_type, key, counterparty, <payload>)``.
 
-    Rows whose key would be null or blank are dropped inside the same
-    projection (``filter`` on the array before ``explode``).
+    Rows whose key is null, or blank for device/IP rules, are dropped right
+    after the ``explode`` (generator and filter stay in whole-stage codegen).
     """
     rules = tuple(rules)
     entries = []
@@ -55,10 +55,10 @@ def activity(events: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES) ->
                                 F.col(key_col).alias("key"),
                                 F.col(cp_col).alias("counterparty")))
     account_keyed = [r.rule_type for r in rules if not RULE_SHAPES[r.rule_type][2]]
-    roles = F.filter(F.array(*entries), lambda x: x["key"].isNotNull() & (
-        x["rule_type"].isin(account_keyed) | not_blank(x["key"])))
-    return (events.select(F.explode(roles).alias("r"), *ACTIVITY_PAYLOAD)
-            .select("r.rule_type", "r.key", "r.counterparty", *ACTIVITY_PAYLOAD))
+    keep = F.col("key").isNotNull() & (F.col("rule_type").isin(account_keyed) | not_blank(F.col("key")))
+    return (events.select(F.explode(F.array(*entries)).alias("r"), *ACTIVITY_PAYLOAD)
+            .select("r.rule_type", "r.key", "r.counterparty", *ACTIVITY_PAYLOAD)
+            .where(keep))
 
 
 def graph_updates(events: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from flowwatch.functions import (
 )
 from flowwatch.operators.activity import activity as activity_rows
 
-GROUP = ["rule_type", "key", "currency", "window_start", "window_end"]
+GROUP = ["rule_type", "key", "currency", "window_start"]   # window_end follows from start + rule
 
 
 def _per_rule(rules: tuple[RuleConfig, ...], attr: str) -> Column:
@@ -48,12 +48,17 @@ def _per_rule(rules: tuple[RuleConfig, ...], attr: str) -> Column:
     return expr.cast("long")
 
 
-def windowed(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES) -> DataFrame:
-    """Add ``window_start``/``window_end`` with each rule's own window size."""
+def windowed(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES, with_end: bool = False) -> DataFrame:
+    """Add ``window_start`` (and ``window_end``) with each rule's own window size."""
     rules = tuple(rules)
     seconds = _per_rule(rules, "window_seconds")
-    return (activity.withColumn("window_start", tumbling_start(F.col("occurred_at"), seconds))
-            .withColumn("window_end", shift_micros(F.col("window_start"), seconds * 1_000_000)))
+    out = activity.withColumn("window_start", tumbling_start(F.col("occurred_at"), seconds))
+    return with_window_end(out, rules) if with_end else out
+
+
+def with_window_end(df: DataFrame, rules) -> DataFrame:
+    seconds = _per_rule(tuple(rules), "window_seconds")
+    return df.withColumn("window_end", shift_micros(F.col("window_start"), seconds * 1_000_000))
 
 
 def _fires(rules, distinct: Column, count: Column, amount: Column) -> Column:
@@ -65,10 +70,12 @@ def _fires(rules, distinct: Column, count: Column, amount: Column) -> Column:
 
 def window_totals(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES) -> DataFrame:
     rules = tuple(rules)
-    return (windowed(activity, rules).groupBy(*GROUP).agg(
+    t = (windowed(activity, rules).groupBy(*GROUP).agg(
         F.count_distinct("counterparty").cast("int").alias("distinct_accounts_count"),
         F.count(F.lit(1)).alias("transaction_count"),
         F.sum("amount_minor").alias("total_amount_minor")))
+    return with_window_end(t, rules).select(*GROUP, "window_end", "distinct_accounts_count",
+                                            "transaction_count", "total_amount_minor")
 
 
 def window_final(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES) -> DataFrame:
@@ -114,29 +121,39 @@ def _amount_crossing(ev: DataFrame, rules) -> DataFrame | None:
             .select(*GROUP, F.col("arr").alias("_p_amount")))
 
 
-def crossings(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
-    """Crossing arrival of every firing group, and the windowed rows.
+def crossings(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES,
+              gate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Crossing arrival of every firing group, and the rows of firing groups.
 
-    One aggregation per ``(group, counterparty)`` (first arrival, count, sum)
-    feeds both the whole-window totals that decide whether a group fires and
-    the distinct-count crossing, so the rows are shuffled once for both.
+    ``gate``: decide firing groups first with a hash aggregate (W6) and run the
+    arrival-ordered work on their rows only -- right when few groups fire, as
+    with production thresholds.  Without the gate one aggregation per
+    ``(group, counterparty)`` serves both the totals and the distinct
+    crossing -- right when most groups fire.
     """
     rules = tuple(rules)
     w = windowed(activity, rules).withColumn("arr", arrival())
-    per_cp = w.groupBy(*GROUP, "counterparty").agg(
-        F.min("arr").alias("arr"), F.count(F.lit(1)).alias("_n"), F.sum("amount_minor").alias("_s"))
-    totals = per_cp.groupBy(*GROUP).agg(
-        F.count(F.lit(1)).alias("_d"), F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
-    fired = totals.where(_fires(rules, F.col("_d"), F.col("_n"), F.col("_s"))).select(*GROUP)
-    parts = [_kth(per_cp.join(fired, GROUP, "left_semi"), rules, "min_distinct", "_p_distinct")]
-    if any(r.min_count > 0 or r.min_amount > 0 for r in rules):
+    if gate:
+        fired = window_final(activity, rules).select(*GROUP)
         ev = w.join(fired, GROUP, "left_semi")
-        parts += [_kth(ev, rules, "min_count", "_p_count"), _amount_crossing(ev, rules)]
+        per_cp = ev.groupBy(*GROUP, "counterparty").agg(F.min("arr").alias("arr"))
+    else:
+        per_cp = w.groupBy(*GROUP, "counterparty").agg(
+            F.min("arr").alias("arr"), F.count(F.lit(1)).alias("_n"), F.sum("amount_minor").alias("_s"))
+        totals = per_cp.groupBy(*GROUP).agg(
+            F.count(F.lit(1)).alias("_d"), F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+        fired = totals.where(_fires(rules, F.col("_d"), F.col("_n"), F.col("_s"))).select(*GROUP)
+        per_cp = per_cp.join(fired, GROUP, "left_semi")
+        ev = w
+    parts = [_kth(per_cp, rules, "min_distinct", "_p_distinct")]
+    if any(r.min_count > 0 or r.min_amount > 0 for r in rules):
+        evf = ev if gate else w.join(fired, GROUP, "left_semi")
+        parts += [_kth(evf, rules, "min_count", "_p_count"), _amount_crossing(evf, rules)]
     parts = [p for p in parts if p is not None]
     joined = reduce(lambda l, r: l.join(r, GROUP, "left"), parts)
     names = [c for c in joined.columns if c.startswith("_p_")]
     point = F.greatest(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0])
-    return joined.select(*GROUP, point.alias("crossing")), w
+    return joined.select(*GROUP, point.alias("crossing")), ev
 
 
 def identity(df: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES) -> DataFrame:
@@ -159,13 +176,13 @@ CANDIDATE_OUT = ["candidate_id", "deduplication_key", "rule_type", "primary_acco
 
 
 def first_crossing(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES,
-                   generated_at: Column | None = None) -> DataFrame:
+                   generated_at: Column | None = None, gate: bool = True) -> DataFrame:
     """W5 + W8: one ``fraud_candidate`` per firing group, state as of the crossing.
 
     ``generated_at`` defaults to the arrival time of the crossing event.
     """
     rules = tuple(rules)
-    cross, ev = crossings(activity, rules)
+    cross, ev = crossings(activity, rules, gate)
     snap = (ev.join(cross, GROUP).where(F.col("arr") <= F.col("crossing"))
             .groupBy(*GROUP).agg(
                 F.count_distinct("counterparty").cast("int").alias("distinct_accounts_count"),
@@ -175,7 +192,7 @@ def first_crossing(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RU
                 F.array_sort(F.collect_set("transaction_id")).alias("transaction_ids"),
                 F.max("crossing").alias("crossing")))
     stamp = generated_at if generated_at is not None else F.col("crossing.ts")
-    return (identity(snap, rules)
+    return (identity(with_window_end(snap, rules), rules)
             .withColumn("generated_at", stamp)
             .withColumn("trigger_event_id", F.col("crossing.id"))
             .select(*CANDIDATE_OUT))
@@ -204,7 +221,7 @@ def late_events(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES
     """
     rules = tuple(rules)
     grace = _per_rule(rules, "grace_seconds")
-    w = (windowed(activity, rules).withColumn("arr", arrival())
+    w = (windowed(activity, rules, with_end=True).withColumn("arr", arrival())
          .withColumn("_bucket", F.floor(epoch_micros(F.col("ingested_at")) / (bucket_seconds * 1_000_000))))
     buckets = w.groupBy("rule_type", "_bucket").agg(F.max("occurred_at").alias("_bmax"))
     before_bucket = Window.partitionBy("rule_type").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
