@@ -26,6 +26,7 @@ from flowwatch.config import CIRCULAR_FLOW, DEFAULT_CYCLE, CycleConfig
 from flowwatch.functions import arrival, epoch_micros, name_uuid, shift_micros
 from flowwatch.operators import graph
 from flowwatch.operators.alerts import OPEN
+from flowwatch.session import checkpoint_dir
 
 PATH_OUT = ["cand_event_id", "cand_ingested_at", "cand_transaction_id", "primary_account_id", "depth",
             "path_accounts", "path_transactions", "path_currencies"]
@@ -121,22 +122,34 @@ def find_paths(cands: DataFrame, edges: DataFrame, cfg: CycleConfig, as_of: bool
                       F.col("curs").alias("path_currencies"))
 
 
-def circular_flow(events: DataFrame, cfg: CycleConfig = DEFAULT_CYCLE, prefilter_edges: bool = True) -> DataFrame:
+def _materialize(df: DataFrame, enabled: bool) -> DataFrame:
+    """Write the edge table once (reliable checkpoint in ``spark.checkpoint.dir``):
+    every hop reads it, and a lost executor recomputes from the files."""
+    if not enabled:
+        return df
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def circular_flow(events: DataFrame, cfg: CycleConfig = DEFAULT_CYCLE, prefilter_edges: bool = True,
+                  materialize: bool = True) -> DataFrame:
     """Paths over the graph as of each candidate's arrival (strictly before)."""
     updates = graph.processed(events)
     versions = graph.edge_versions(updates)
     if prefilter_edges:
         versions = prefilter(versions, events)
-    return find_paths(cycle_candidates(events, cfg), edge_view(versions, cfg, True), cfg, True)
+    edges = _materialize(edge_view(versions, cfg, True), materialize)
+    return find_paths(cycle_candidates(events, cfg), edges, cfg, True)
 
 
 def circular_flow_snapshot(events: DataFrame, cfg: CycleConfig = DEFAULT_CYCLE,
-                           prefilter_edges: bool = True) -> DataFrame:
+                           prefilter_edges: bool = True, materialize: bool = True) -> DataFrame:
     """Paths over the final graph."""
     final = graph.edges(graph.processed(events))
     if prefilter_edges:
         final = prefilter(final, events)
-    return find_paths(cycle_candidates(events, cfg), edge_view(final, cfg, False), cfg, False)
+    edges = _materialize(edge_view(final, cfg, False), materialize)
+    return find_paths(cycle_candidates(events, cfg), edges, cfg, False)
 
 
 def circular_alerts(paths: DataFrame) -> DataFrame:

@@ -17,8 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowwatch.session import checkpoint_dir
 
-# Bump when a derivation changes, so stale staged tables are not reused.
-RECIPE_VERSION = "3"
+# Staged tables are keyed by the package's own source text, so a changed
+# derivation never reuses a stale table.
+def _code_digest() -> str:
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for d, _, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(d, f), "rb") as fh:
+                    h.update(fh.read())
+    return h.hexdigest()[:12]
+
+
+RECIPE_VERSION = _code_digest()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
