@@ -211,8 +211,14 @@ def q_rule_evidence(spark, sf):
 
 
 # ---------------------------------------------------------------- alerts
-def _fixture_alert_events(spark, sf) -> DataFrame:
-    return jobs.all_alert_events(_valid(spark, sf), DRIVER_RULES, DRIVER_CYCLE)
+def _fixture_alert_events(spark, sf, materialize: bool = True) -> DataFrame:
+    """The alert stream (A8) the projector reads; written once (checkpoint in
+    the shared folder) because canonical alerts and evidence both read it."""
+    ev = jobs.all_alert_events(_valid(spark, sf), DRIVER_RULES, DRIVER_CYCLE)
+    if not materialize:
+        return ev
+    session.checkpoint_dir(spark)
+    return ev.checkpoint(eager=True)
 
 
 @register("alert_generation")
@@ -222,7 +228,7 @@ def q_alert_generation(spark, sf):
 
 @register("alert_union")
 def q_alert_union(spark, sf):
-    return flat_alert_events(_fixture_alert_events(spark, sf))
+    return flat_alert_events(_fixture_alert_events(spark, sf, materialize=False))
 
 
 @register("alerts")
