@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowwatch import session
 from flowwatch.config import DEFAULT_CYCLE, DEFAULT_RULES, DRIVER_CYCLE, DRIVER_RULES, rule
-from flowwatch.functions import epoch_micros, shift_micros, sorted_join
+from flowwatch.functions import epoch_micros, sorted_join
 from flowwatch.operators import activity as act
 from flowwatch.operators import alerts, cycles, evaluation, graph, ledger, metrics, normalise, rules
 from flowwatch.plans import jobs
@@ -96,6 +96,7 @@ def messages(spark, sf) -> DataFrame:
     as_iso = F.to_json(F.struct(*fields, F.col("occurred_at")), iso_opts)
     as_epoch = F.to_json(F.struct(*fields, epoch.cast("string").alias("occurred_at")), iso_opts)
     text = F.when(occ.isNotNull(), as_epoch).otherwise(as_iso)
+    # fault injection: a cut-off payload (undecodable JSON) for every 211th row
     text = F.when(F.col("id") % 211 == 0, F.substring(text, 1, 25)).otherwise(text)
     text = F.when(F.col("id") % 223 == 0, _quote(text)).otherwise(text)
     return b.select("id", F.col("source_account_id").alias("key"), text.alias("value"),

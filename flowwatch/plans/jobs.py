@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowwatch.config import DEFAULT_CYCLE, DEFAULT_RULES, CycleConfig, RuleConfig
+from flowwatch.config import DEFAULT_CYCLE, DEFAULT_RULES, CycleConfig
 from flowwatch.operators import alerts, cycles, ledger, normalise, rules
 from flowwatch.operators.activity import graph_update_failures
 from flowwatch.sources.intake import dead_letters
