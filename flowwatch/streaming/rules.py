@@ -124,3 +124,24 @@ def with_run_counters(alert_events: DataFrame, canonical_ids: DataFrame | None =
         F.count(F.lit(1)).alias("alert_events"),
         F.count_if(F.col("rule_type").isNull() | F.col("primary_account_id").isNull()).alias("rejected"),
         F.count_if(F.col("rule_type") == "CIRCULAR_FLOW").alias("cycle_alert_events"))
+
+
+def start_rule_streams(events: DataFrame, rules, checkpoint_root: str, sink_for, trigger: dict | None = None):
+    """Start one streaming query per rule over the same source.
+
+    Spark allows one ``applyInPandasWithState`` per query, so the four rules
+    run as four queries (as the reference runs four topologies); each gets its
+    own checkpoint and a ``foreachBatch`` sink from ``sink_for(rule_config)``
+    -- typically an :class:`~flowwatch.streaming.sinks.IdempotentSink` keyed on
+    ``deduplication_key``.
+    """
+    import os
+    queries = []
+    for cfg in rules:
+        writer = (stream_candidates(events, cfg).writeStream.foreachBatch(sink_for(cfg))
+                  .option("checkpointLocation", os.path.join(checkpoint_root, cfg.rule_type.lower()))
+                  .queryName(f"rule_{cfg.rule_type.lower()}"))
+        if trigger:
+            writer = writer.trigger(**trigger)
+        queries.append(writer.start())
+    return queries

@@ -74,3 +74,21 @@ def test_edge_delta_sink_equals_batch_graph(spark):
     got = sorted(tuple(r) for r in sink.edges(spark).collect())
     want = sorted(tuple(r) for r in graph.edges(graph.processed(valid)).collect())
     assert got == want
+
+
+def test_rule_streams_one_query_per_rule(spark):
+    from flowwatch.streaming.rules import start_rule_streams
+    valid = _valid_ts(spark)
+    root = tempfile.mkdtemp(prefix="fw-rules-", dir="/tmp")
+    valid.coalesce(1).write.parquet(os.path.join(root, "in"))
+    cfgs = (RuleConfig("FAN_OUT", 604800, 3 * 86400, 5), CFG)
+    src = read_stream(spark, "parquet", valid.schema, os.path.join(root, "in"))
+    sinks = {c.rule_type: IdempotentSink(os.path.join(root, "out", c.rule_type), ["deduplication_key"])
+             for c in cfgs}
+    qs = start_rule_streams(src, cfgs, os.path.join(root, "ckpt"), lambda c: sinks[c.rule_type],
+                            trigger={"availableNow": True})
+    for q in qs:
+        q.awaitTermination()
+    got = {c.rule_type: sinks[c.rule_type].read(spark).count() for c in cfgs}
+    want = {r.rule_type: r["count"] for r in rules.candidates(valid, cfgs).groupBy("rule_type").count().collect()}
+    assert got == want
