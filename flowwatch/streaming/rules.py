@@ -57,12 +57,16 @@ def _folder(cfg: RuleConfig):
         if state.hasTimedOut:
             state.remove()
             return
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ingested_at", "event_id"])
+        end_ms = int(pd.Timestamp(rows["window_end"].iloc[0]).timestamp() * 1000)
+        watermark = state.getCurrentWatermarkMs()
+        if watermark is not None and watermark > 0 and end_ms <= watermark:
+            return                      # window closed: late rows change nothing (Kafka grace semantics)
         if state.exists:
             emitted, accounts, txs, count, amount = state.get
             accounts, txs = set(accounts or []), set(txs or [])
         else:
             emitted, accounts, txs, count, amount = False, set(), set(), 0, 0
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ingested_at", "event_id"])
         out = []
         if not emitted:
             for r in rows.itertuples(index=False):
@@ -80,8 +84,7 @@ def _folder(cfg: RuleConfig):
             state.update((True, [], [], 0, 0))
         else:
             state.update((False, sorted(accounts), sorted(txs), count, amount))
-        window_end = rows["window_end"].iloc[0]
-        state.setTimeoutTimestamp(int(pd.Timestamp(window_end).timestamp() * 1000))
+        state.setTimeoutTimestamp(end_ms)
         if out:
             yield pd.DataFrame(out, columns=_OUT.fieldNames())
 

@@ -171,3 +171,29 @@ def test_streams_from_raw_messages(spark):
     got_alerts = alert_sinks[CFG.rule_type].read_alerts(spark)
     assert sorted(tuple(r) for r in got_alerts.collect()) == sorted(tuple(r) for r in want_alerts.collect())
     assert got_alerts.count() > 10
+
+
+def test_stream_drops_windows_closed_by_the_watermark(spark):
+    """Batch 1 moves the watermark past 10:01:15; a later batch with five
+    transfers in [10:00, 10:01) is late: no candidate and no failure."""
+    import datetime as dt
+    from conftest import T0, acct, event
+    from flowwatch.schemas import TRANSACTION_EVENT
+    cfg = RuleConfig("FAN_OUT", 60, 15, 5)
+    root = tempfile.mkdtemp(prefix="fw-late-", dir="/tmp")
+    first = [event("x", acct("Z"), acct("Y"), at=300)]                      # 10:05, watermark 10:04:45
+    late = [event(f"l{i}", acct("A"), acct(f"D{i}"), at=i, arrival=400 + i) for i in range(5)]
+    on_time = [event(f"o{i}", acct("B"), acct(f"E{i}"), at=290 + i, arrival=410 + i) for i in range(5)]
+    src_dir = os.path.join(root, "src")
+    out = []
+    for n, rows in enumerate((first, late + on_time)):
+        spark.createDataFrame(rows, TRANSACTION_EVENT).coalesce(1).write.parquet(os.path.join(root, f"b{n}"))
+        os.makedirs(src_dir, exist_ok=True)
+        for f in os.listdir(os.path.join(root, f"b{n}")):
+            if f.endswith(".parquet"):
+                os.link(os.path.join(root, f"b{n}", f), os.path.join(src_dir, f"b{n}-{f}"))
+        src = read_stream(spark, "parquet", TRANSACTION_EVENT, src_dir)
+        q = (stream_candidates(src, cfg).writeStream.foreachBatch(lambda b, i: out.extend(b.collect()))
+             .option("checkpointLocation", os.path.join(root, "ckpt")).trigger(availableNow=True).start())
+        q.awaitTermination()
+    assert [r.primary_account_id for r in out] == [acct("B")]
