@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
-from .workspace import ship_code
+from . import langid, mixing, quality, sentencepieces, tokenstore, toxicity
+from .workspace import Workspace, ship_code
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """Path of a public tokenizer file; the files are installed beside the libraries on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -27,9 +37,34 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = langid.fit(docs)
+    return langid.predict(docs.select("doc_id", "text"), net).select(
+        "doc_id", (quality.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = tokenstore.write_store(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"),
+                                    Workspace(spark, "tokens"))
+    return tokenstore.read_store(blocks)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (quality.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mix_sources": op4_mix_sources,
+    "op5_language_id": op5_language_id,
+    "op7_token_store": op7_token_store,
+    "op9_toxicity": op9_toxicity,
 }
 
 

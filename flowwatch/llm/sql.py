@@ -38,7 +38,7 @@ lines AS (
   FROM (SELECT lane, source_size, blocks, unnest(range(blocks)) AS block FROM lanes) b LEFT JOIN times USING (lane, block)),
 placed AS (
   SELECT *, row_number() OVER () AS k, tail - size AS head
-  FROM (SELECT doc_id, size, g.lane, g.source_size, target, blocks,
+  FROM (SELECT doc_id, size, g.lane, g.source_size, g.target, l.blocks,
                sum(size) OVER (PARTITION BY g.lane ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS tail
         FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source LEFT JOIN lanes l ON l.lane = g.lane)),
 taken AS (
