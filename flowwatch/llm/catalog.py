@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sentencepieces, tokenstore, toxicity
+from . import hashforest, langid, mixing, perplexity, quality, sentencepieces, tokenstore, toxicity
 from .workspace import Workspace, ship_code
 
 
@@ -50,6 +50,11 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_store(blocks)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -58,13 +63,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hashforest.usable(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hashforest.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
     "op7_token_store": op7_token_store,
+    "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 
