@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hashforest, langid, mixing, perplexity, quality, sentencepieces, tokenstore, toxicity
+from . import hashforest, langid, mixing, ngramjoin, perplexity, quality, sentencepieces, tokenstore, toxicity
 from .workspace import Workspace, ship_code
 
 
@@ -44,6 +44,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (quality.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.grouped(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = tokenstore.write_store(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"),
                                     Workspace(spark, "tokens"))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
+    "op6_ngram_join": op6_ngram_join,
     "op7_token_store": op7_token_store,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,

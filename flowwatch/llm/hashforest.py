@@ -134,7 +134,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, cfg: ForestConfi
                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"),
                          F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk"), "query_id", "vector")
 
-    def search(entry: pa.Table, query: pa.Table) -> pa.Table:
+    def search(entry, query):
         q, v, s = _search(entry, query, k, cfg) if entry.num_rows and query.num_rows else ([], [], [])
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
