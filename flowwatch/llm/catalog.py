@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hashforest, langid, mixing, ngramjoin, perplexity, quality, sentencepieces, tokenstore, toxicity
+from . import hashforest, langid, linededup, mixing, ngramjoin, perplexity, quality, sentencepieces, tokenstore, toxicity
 from .workspace import Workspace, ship_code
 
 
@@ -15,14 +15,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     """Path of a public tokenizer file; the files are installed beside the libraries on every machine."""
     import public_tokenizers
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.deduplicated(docs, out="n_removed").select("doc_id", "n_removed", "text")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return sentencepieces.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = tokenstore.write_store(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"),
+    blocks = tokenstore.write_store(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"),
                                     Workspace(spark, "tokens"))
     return tokenstore.read_store(blocks)
 
@@ -73,6 +78,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mix_sources": op4_mix_sources,
