@@ -31,8 +31,8 @@ from .workspace import Workspace
 class ForestConfig:
     trees: int = 48
     bits: int = 32
-    share: float = 0.5               # of a block's entries that a query compares at least
-    least: int = 256                 # and so many at least
+    share: float = 0.5               # of a block's entries, counted over all trees, that a query looks up at least
+    least: int = 4096                # and so many at least, counted over all trees
     block_rows: int = 8192
     chunk_queries: int = 2048
     seed: int = 3
@@ -60,7 +60,7 @@ class Forest:
     def candidates(self, queries: np.ndarray) -> list[np.ndarray]:
         """Per query the entries that share its prefixes, from the longest down to the first length with enough of them."""
         cfg, n = self.cfg, len(self.unit)
-        want = min(n, max(cfg.least, int(cfg.share * n)))
+        want = min(cfg.trees * n, max(cfg.least, int(cfg.share * n)))      # ranges of several trees may overlap
         strings = [self._strings(queries, t) for t in range(cfg.trees)]
         level = np.full(len(queries), -1)
         low = np.zeros((cfg.trees, len(queries)), np.int64)
@@ -131,7 +131,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, cfg: ForestConfi
     left = entries.select(F.size("vector").alias("dims"), F.pmod(F.xxhash64("vector"), F.lit(blocks)).alias("block"),
                           F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "ids", "vector")
     right = asked.select(F.size("vector").alias("dims"),
-                         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
                          F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk"), "query_id", "vector")
 
     def search(entry, query):

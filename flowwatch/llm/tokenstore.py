@@ -37,6 +37,20 @@ _mark = np.array([33 <= i < 127 and not chr(i).isalnum() and i != ord("'") for i
 _encoders: dict[str, WordIds] = {}
 
 
+def _plain_letters(tokenizer) -> dict[str, str]:
+    """ASCII and Latin-1 letters with what the tokenizer's own normalizer and pre-tokenizer make of them.
+
+    These letters neither combine nor change with their neighbours, and a run of them is one word of the model.
+    """
+    out = {}
+    for c in map(chr, (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100))):
+        if c.isalpha() and len(c.lower()) == 1:
+            pieces = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(c))
+            if len(pieces) == 1:
+                out[c] = pieces[0][0]
+    return out
+
+
 def _encoder(path: str) -> WordIds:
     """One tokenizer with its table of known pieces per Python worker."""
     if path not in _encoders:
@@ -45,10 +59,24 @@ def _encoder(path: str) -> WordIds:
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
 
-        def encode(words: list[bytes]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        model, plain = tokenizer.model, _plain_letters(tokenizer)
 
-        _encoders[path] = WordIds(encode, bits=20, pool=1 << 22)
+        def encode(words: list[bytes]) -> list[list[int]]:
+            """Words of plain letters go to the model as the tokenizer would hand them over; the rest takes all its steps."""
+            out: list[list[int]] = [[]] * len(words)
+            rest = []
+            for i, raw in enumerate(words):
+                word = raw.decode()
+                try:
+                    out[i] = [t.id for t in model.tokenize("".join([plain[c] for c in word]))]
+                except KeyError:
+                    rest.append((i, word))
+            if rest:
+                for (i, _), e in zip(rest, tokenizer.encode_batch([w for _, w in rest], add_special_tokens=False)):
+                    out[i] = e.ids
+            return out
+
+        _encoders[path] = WordIds(encode, bits=21, pool=1 << 23)
     return _encoders[path]
 
 

@@ -68,7 +68,7 @@ class WordIds:
         slot = (hashes >> self.shift).astype(np.int64)
         begin, size = self.begin[slot], self.size[slot]
         missed = np.flatnonzero(self.keys[slot] != hashes)
-        extra = np.zeros(0, np.uint32)
+        source = self.pool
         if len(missed):
             first, inverse = first_of_each(hashes[missed])
             one = missed[first]
@@ -76,18 +76,16 @@ class WordIds:
             ids = self.encode([raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             extra = np.fromiter((i for word in ids for i in word), np.uint32, int(sizes.sum()))
-            begins = np.cumsum(sizes) - sizes
-            begin[missed] = begins[inverse] + self.pool_size
-            size[missed] = sizes[inverse]
-        source = np.concatenate((self.pool, extra)) if len(extra) else self.pool
-        ends = np.cumsum(size)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)
-        out = source[at]
-        if len(extra):
-            if self.used + len(extra) > self.pool_size:
-                self._reset()
-            if len(extra) <= self.pool_size:
+            begins = np.cumsum(sizes) - sizes + self.used
+            begin[missed], size[missed] = begins[inverse], sizes[inverse]
+            room = self.used + len(extra) <= self.pool_size
+            if room:
                 self.pool[self.used:self.used + len(extra)] = extra
-                self.keys[slot[one]], self.begin[slot[one]], self.size[slot[one]] = hashes[one], begins + self.used, sizes
                 self.used += len(extra)
-        return out, size
+                self.keys[slot[one]], self.begin[slot[one]], self.size[slot[one]] = hashes[one], begins, sizes
+            else:
+                source = np.concatenate((self.pool[:self.used], extra))
+                self._reset()
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+        return source[at], size
