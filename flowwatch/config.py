@@ -58,8 +58,8 @@ class CycleConfig:
     tolerance_percent: int = 10
 
     def __post_init__(self):
-        if not 2 <= self.max_depth <= 6:
-            raise ValueError("max_depth must be between 2 and 6")
+        if self.max_depth < 2:
+            raise ValueError("max_depth must be at least 2")
         if self.window_seconds <= 0 or self.tolerance_percent < 0:
             raise ValueError("window must be positive and tolerance non-negative")
 

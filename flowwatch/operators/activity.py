@@ -64,12 +64,16 @@ def activity(events: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES) ->
 def graph_updates(events: DataFrame) -> DataFrame:
     """Validated events keyed by source account for the graph projector.
 
-    The correlation id must be a canonical UUID; other rows are returned by
+    A correlation id that is not null must be a canonical UUID; other rows are returned by
     :func:`graph_update_failures` for the dead-letter table.
     """
-    return (events.where(is_canonical_uuid(F.col("correlation_id")))
+    return (events.where(_correlated())
             .select(F.col("source_account_id").alias("key"), *EVENT_COLUMNS))
 
 
 def graph_update_failures(events: DataFrame) -> DataFrame:
-    return events.where(~is_canonical_uuid(F.col("correlation_id")))
+    return events.where(~_correlated())
+
+
+def _correlated():
+    return F.col("correlation_id").isNull() | is_canonical_uuid(F.col("correlation_id"))

@@ -34,9 +34,9 @@ PATH_OUT = ["cand_event_id", "cand_ingested_at", "cand_transaction_id", "primary
 
 def cycle_candidates(events: DataFrame, cfg: CycleConfig = DEFAULT_CYCLE) -> DataFrame:
     """Every validated event searched as a closing edge (replays search again)."""
-    x = F.col("amount_minor")
-    # integer arithmetic as in the reference; an overflowing product gives null (no match)
-    slack = F.expr(f"try_multiply(amount_minor, CAST({int(cfg.tolerance_percent)} AS BIGINT)) div 100")
+    # whole units, truncated; wide enough for any bigint amount, whose bounds lie outside bigint
+    x = F.col("amount_minor").cast("decimal(38,0)")
+    slack = F.expr(f"CAST(floor(CAST(abs(CAST(amount_minor AS DECIMAL(20,0))) * {int(cfg.tolerance_percent)} AS DECIMAL(38,0)) / 100) AS DECIMAL(38,0))")
     bucket_us = cfg.window_seconds * 1_000_000
     tmin = shift_micros(F.col("occurred_at"), F.lit(-bucket_us))
     return events.select(

@@ -369,7 +369,7 @@ def q_cycle_prefilter(spark, sf):
 def _scenario(spark, sf) -> DataFrame:
     session.prepare(spark)
     return staged(spark, "scenario", sf, lambda: scenario.scenario_transactions(
-        read_table(spark, sf, "supplier").select("s_suppkey")))
+        read_table(spark, sf, "supplier").select("s_suppkey")), tables=("supplier",))
 
 
 def _matched(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -380,16 +380,6 @@ def _matched(spark, sf) -> tuple[DataFrame, DataFrame]:
     return evaluation.match(expected, canon), sc
 
 
-@register("scenario_transactions")
-def q_scenario_transactions(spark, sf):
-    return _scenario(spark, sf).select("block", "kind", *EVENT_COLUMNS)
-
-
-@register("scenario_expected")
-def q_scenario_expected(spark, sf):
-    return scenario.scenario_expected(_scenario(spark, sf))
-
-
 @register("evaluation_match")
 def q_evaluation_match(spark, sf):
     return _matched(spark, sf)[0]

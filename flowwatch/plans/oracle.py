@@ -387,7 +387,8 @@ def build() -> dict[str, str]:
     q["ledger_conflicts"] = _q(*led, body="SELECT * FROM conf")
     q["ledger_replays"] = _q(*led, body=f"""SELECT {', '.join('v.' + c.strip() for c in LEDGER_COLS.split(','))}
         FROM valid v JOIN win w ON v.transaction_id = w.transaction_id
-        WHERE v.event_id = w.event_id AND v.ingested_at > w.ingested_at""")
+        WHERE v.event_id = w.event_id
+        QUALIFY row_number() OVER (PARTITION BY v.transaction_id, v.event_id ORDER BY v.ingested_at) > 1""")
     q["ledger_constraints"] = _q(*led, body=f"SELECT {LEDGER_COLS}, error FROM wchk WHERE error IS NOT NULL")
     q["ledger_lookup"] = _q(*led, body=f"""SELECT * FROM led WHERE source_account_id = {v3(f"'{LOOKUP_ACCOUNT_NAME}'")}
         AND occurred_at >= TIMESTAMP '{LOOKUP_START}' AND occurred_at < TIMESTAMP '{LOOKUP_END}'""")
@@ -412,9 +413,6 @@ def build() -> dict[str, str]:
     q["cycle_prefilter"] = _q(*gr, body="""SELECT * FROM g_edges
         WHERE src IN (SELECT destination_account_id FROM valid) AND dst IN (SELECT source_account_id FROM valid)""")
 
-    sc = _scenario_ctes()
-    q["scenario_transactions"] = _q(*sc, body=f"SELECT block, kind, {EVENT_COLS} FROM scx")
-    q["scenario_expected"] = _q(*sc, body="SELECT * FROM exp")
     mt = _match_ctes()
     q["evaluation_match"] = _q(*mt, body="SELECT * FROM mt")
     q["evaluation_metrics"] = _q(*mt, """cnt AS (SELECT count(*) FILTER (WHERE outcome = 'TP') AS tp,

@@ -52,14 +52,14 @@ def build_session(master: str | None = None, app: str = "flowwatch",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and cut-lineage tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) do we create a scratch folder of our own.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local master (tests) may leave it unset: on a cluster a
+    folder of the driver's machine would not be seen by the executors.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="flowwatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="flowwatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", configured)
+    spark.sparkContext.setCheckpointDir(configured)
+    return configured

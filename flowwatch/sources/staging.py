@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +41,35 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def staged(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the staged table ``name`` derived from ``source``; build it once."""
-    key = hashlib.sha1(f"{name}|{os.path.abspath(source)}|{RECIPE_VERSION}".encode()).hexdigest()[:16]
-    path = os.path.join(checkpoint_dir(spark), "staged", f"{name}-{key}")
-    if not _exists(spark, os.path.join(path, "_SUCCESS")):
-        build().write.mode("overwrite").parquet(path)
+def _input_mark(spark: SparkSession, source: str, tables: tuple[str, ...]) -> str:
+    """Paths, lengths and modification times of the files behind the tables: a rewritten input has another mark."""
+    jvm = spark.sparkContext._jvm
+    rows = []
+    for table in tables:
+        p = jvm.org.apache.hadoop.fs.Path(f"{source.rstrip('/')}/{table}.parquet")
+        files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            rows.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return "\n".join(sorted(rows))
+
+
+def staged(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame],
+           tables: tuple[str, ...] = ("events",)) -> DataFrame:
+    """Read the staged table ``name`` derived from ``tables`` of ``source``; build it once per state of the input.
+
+    It is written under a name of its own and renamed when complete, so jobs that build it at the same time do not mix
+    their files and a failed build leaves nothing that looks finished.
+    """
+    key = hashlib.sha1(f"{name}|{_input_mark(spark, source, tables)}|{RECIPE_VERSION}".encode()).hexdigest()[:16]
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/staged"
+    path = f"{folder}/{name}-{key}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        jvm = spark.sparkContext._jvm
+        own = f"{folder}/.{name}-{key}-{uuid.uuid4().hex[:8]}"
+        build().write.parquet(own)
+        here, there = jvm.org.apache.hadoop.fs.Path(own), jvm.org.apache.hadoop.fs.Path(path)
+        fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if _exists(spark, f"{path}/_SUCCESS") or not fs.rename(here, there):
+            fs.delete(here, True)                     # another job finished first
     return spark.read.parquet(path)
