@@ -170,7 +170,7 @@ def train(texts: list[str], labels: list[int], cfg: ToxicityConfig = ToxicityCon
     unlike: dict[tuple, tuple[list[bytes], int]] = {}
     for text, label in zip(texts, labels):       # near copies share their smallest word hashes; one of them counts
         bag = strings_of(text)
-        unlike.setdefault((label, *sorted(zlib.crc32(w) for w in bag)[:3]), (bag, label))
+        unlike.setdefault((label, *sorted(zlib.crc32(w) for w in bag)[:8]), (bag, label))
     toxic = [b for b, y in unlike.values() if y == 1 and b]
     clean = [b for b, y in unlike.values() if y == 0]
     in_toxic, in_clean = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
