@@ -47,6 +47,8 @@ class ToxicityConfig:
     seed: int = 11
 
 
+#: Strings whose subsequences are in memory at once, and numbers in a piece of the kernel's expansion.
+_STRINGS, _EXPANDED = 8192, 1 << 22
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 #: Letters, digits and all bytes of other scripts; the rest is punctuation that a string drops.
@@ -91,10 +93,15 @@ def _packed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def values(data: np.ndarray, word_bounds: np.ndarray, table: np.ndarray, cfg: ToxicityConfig) -> np.ndarray:
     """Per string: sum of weight * table[bucket] over its subsequences, divided by the string's own weight."""
-    bucket, weight, owner = subsequences(data, word_bounds, cfg)
     n = len(word_bounds) - 1
-    own = np.sqrt(np.bincount(owner, weight * weight, n))
-    return np.bincount(owner, weight * table[bucket], n) / np.maximum(own, 1e-9)
+    out = np.zeros(n)
+    for lo in range(0, n, _STRINGS):                        # subsequences are ten times the strings' bytes and more
+        hi = min(n, lo + _STRINGS)
+        part = word_bounds[lo:hi + 1]
+        bucket, weight, owner = subsequences(data[part[0]:part[-1]], part - part[0], cfg)
+        own = np.sqrt(np.bincount(owner, weight * weight, hi - lo))
+        out[lo:hi] = np.bincount(owner, weight * table[bucket], hi - lo) / np.maximum(own, 1e-9)
+    return out
 
 
 class _Kernel:
@@ -110,8 +117,9 @@ class _Kernel:
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), self.matrix.shape[1]), np.float32)
-        for lo in range(0, len(words), 4096):
-            part = words[lo:lo + 4096]
+        step = max(16, _EXPANDED // (64 * self.matrix.shape[1]))
+        for lo in range(0, len(words), step):
+            part = words[lo:lo + step]
             bucket, weight, owner = subsequences(*_packed(part), self.cfg)
             own = np.sqrt(np.bincount(owner, weight * weight, len(part)))
             at = np.searchsorted(self.known, bucket)
