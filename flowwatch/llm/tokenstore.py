@@ -16,6 +16,7 @@ side by side, in the order of a hash of their text; an empty table is a store wi
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -59,20 +60,19 @@ def _encoder(path: str) -> WordIds:
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
 
-        model, plain = tokenizer.model, _plain_letters(tokenizer)
+        model = tokenizer.model
+        #: Line breaks part the words of a batch; a character that is no plain letter becomes NUL.
+        known = defaultdict(lambda: "\0", {ord(c): to for c, to in _plain_letters(tokenizer).items()}) | {ord("\n"): "\n"}
 
         def encode(words: list[bytes]) -> list[list[int]]:
             """Words of plain letters go to the model as the tokenizer would hand them over; the rest takes all its steps."""
-            out: list[list[int]] = [[]] * len(words)
-            rest = []
-            for i, raw in enumerate(words):
-                word = raw.decode()
-                try:
-                    out[i] = [t.id for t in model.tokenize("".join([plain[c] for c in word]))]
-                except KeyError:
-                    rest.append((i, word))
+            plain = b"\n".join(words).decode().translate(known).split("\n")
+            rest = [i for i, word in enumerate(plain) if "\0" in word or not word]
+            for i in rest:
+                plain[i] = ""
+            out = [[t.id for t in model.tokenize(word)] if word else [] for word in plain]
             if rest:
-                for (i, _), e in zip(rest, tokenizer.encode_batch([w for _, w in rest], add_special_tokens=False)):
+                for i, e in zip(rest, tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)):
                     out[i] = e.ids
             return out
 
