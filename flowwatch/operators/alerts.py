@@ -2,8 +2,8 @@
 
 The first alert event of a ``deduplication_key`` in arrival order is canonical
 and is never replaced; evidence (accounts, transactions) is the union over all
-accepted events of the key.  Events with a null ``rule_type`` or primary
-account, or a key longer than 255 characters, are rejected whole -- before the
+accepted events of the key.  Events that the table refuses (a null in a column, or a
+key, rule type or status that is too long) are rejected whole -- before the
 split into the three outputs -- so an alert never exists without its evidence
 or vice versa (A9).
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 OPEN = "OPEN"
 MAX_KEY_LENGTH = 255
+MAX_RULE_LENGTH, MAX_STATUS_LENGTH = 50, 20
 
 ALERT_EVENT = ["alert_id", "deduplication_key", "rule_type", "primary_account_id", "status",
                "involved_accounts", "transaction_ids", "generated_at", "trigger_event_id"]
@@ -36,9 +37,11 @@ def union(*frames: DataFrame) -> DataFrame:
 
 
 def _acceptable() -> Column:
-    return (F.col("rule_type").isNotNull() & F.col("primary_account_id").isNotNull()
-            & F.col("deduplication_key").isNotNull()
-            & (F.length("deduplication_key") <= MAX_KEY_LENGTH))
+    needed = [F.col(c).isNotNull() for c in ("alert_id", "deduplication_key", "rule_type", "primary_account_id",
+                                             "status", "generated_at")]
+    fits = [F.length("deduplication_key") <= MAX_KEY_LENGTH, F.length("rule_type") <= MAX_RULE_LENGTH,
+            F.length("status") <= MAX_STATUS_LENGTH]
+    return reduce(Column.__and__, needed + fits)
 
 
 def accepted(events: DataFrame) -> DataFrame:

@@ -10,16 +10,18 @@ Currency is not compared; parallel currency edges give separate paths.
 the version whose ``(valid_from, valid_to]`` holds the candidate's arrival.
 ``snapshot`` (C2) reads the final graph.
 
-Scale: every hop is an equi-join on ``(account, time bucket)``.  A bucket is
-one window long, so a candidate needs at most two buckets; the candidate row is
-exploded into them and each edge version sits in exactly one, so no path is
-produced twice and a hub account only meets edge versions from the right time
-range instead of its whole history.  The closing hop joins on both ends.
+Scale: every hop is an equi-join on ``(account, time bucket, amount band)``.  A bucket is
+one window long and a band as wide as the tolerance, so a candidate needs at most two of each; the
+candidate row is exploded into them and each edge version sits in exactly one, so no path is
+produced twice and a hub account only meets edge versions of the right time
+range and amount instead of its whole history.  The closing hop joins on both ends.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowwatch.config import CIRCULAR_FLOW, DEFAULT_CYCLE, CycleConfig
@@ -32,6 +34,13 @@ PATH_OUT = ["cand_event_id", "cand_ingested_at", "cand_transaction_id", "primary
             "path_accounts", "path_transactions", "path_currencies"]
 
 
+def _band(amount: Column, cfg: CycleConfig) -> Column:
+    """Logarithmic amount band; a candidate's whole tolerance spans two bands (more only from 60 percent on)."""
+    tol = min(cfg.tolerance_percent, 60)
+    width = math.log(max(1.02, (100 + tol) / (100 - tol)))
+    return F.floor(F.log(F.greatest(amount.cast("double"), F.lit(1.0))) / F.lit(width)).cast("int")
+
+
 def cycle_candidates(events: DataFrame, cfg: CycleConfig = DEFAULT_CYCLE) -> DataFrame:
     """Every validated event searched as a closing edge (replays search again)."""
     # whole units, truncated; wide enough for any bigint amount, whose bounds lie outside bigint
@@ -47,7 +56,8 @@ def cycle_candidates(events: DataFrame, cfg: CycleConfig = DEFAULT_CYCLE) -> Dat
         (x - slack).alias("lo"), (x + slack).alias("hi"),
         arrival().alias("arr"),
         F.sequence(F.floor(epoch_micros(tmin) / bucket_us), F.floor(epoch_micros(F.col("occurred_at")) / bucket_us))
-        .alias("buckets"))
+        .alias("buckets"),
+        F.sequence(_band(x - slack, cfg), _band(x + slack, cfg)).alias("bands"))
 
 
 def edge_view(edge_df: DataFrame, cfg: CycleConfig, as_of: bool) -> DataFrame:
@@ -56,7 +66,8 @@ def edge_view(edge_df: DataFrame, cfg: CycleConfig, as_of: bool) -> DataFrame:
     cols = [F.col("src").alias("e_src"), F.col("dst").alias("e_dst"), F.col("currency").alias("e_cur"),
             F.col("total_amount_minor").alias("e_total"), F.col("latest_occurred_at").alias("e_occ"),
             F.col("latest_transaction_id").alias("e_tx"),
-            F.floor(epoch_micros(F.col("latest_occurred_at")) / bucket_us).alias("e_bucket")]
+            F.floor(epoch_micros(F.col("latest_occurred_at")) / bucket_us).alias("e_bucket"),
+            _band(F.col("total_amount_minor"), cfg).alias("e_band")]
     if as_of:
         cols += [F.col("valid_from").alias("e_vf"), F.col("valid_to").alias("e_vt")]
     return edge_df.select(*cols)
@@ -80,8 +91,8 @@ def _hop(paths: DataFrame, edges: DataFrame, as_of: bool, closing: bool) -> Data
     ``closing``: the edge must end at the candidate source (two-column key);
     otherwise it must not, and must not revisit a node.
     """
-    p = paths.withColumn("_b", F.explode("buckets"))
-    cond = [p["tail"] == edges["e_src"], p["_b"] == edges["e_bucket"]]
+    p = paths.withColumn("_b", F.explode("buckets")).withColumn("_a", F.explode("bands"))
+    cond = [p["tail"] == edges["e_src"], p["_b"] == edges["e_bucket"], p["_a"] == edges["e_band"]]
     if closing:
         cond.append(p["cs"] == edges["e_dst"])
     j = p.join(edges, cond)
@@ -98,7 +109,7 @@ def _hop(paths: DataFrame, edges: DataFrame, as_of: bool, closing: bool) -> Data
             .withColumn("curs", F.concat("curs", F.array("e_cur")))
             .withColumn("prev_occ", F.col("e_occ"))
             .withColumn("tail", F.col("e_dst"))
-            .drop("_b", *[c for c in edges.columns]))
+            .drop("_b", "_a", *[c for c in edges.columns]))
 
 
 def find_paths(cands: DataFrame, edges: DataFrame, cfg: CycleConfig, as_of: bool) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Score alerts against the planted scenarios.
+"""Score alerts against the expected ones.
 
 The harness matches each expected alert to the first unmatched actual alert
 with the same ``(rule_type, primary_account_id)``; since the key is the only
@@ -12,9 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowwatch.operators.rules import first_crossing
+
 KEY = ["rule_type", "primary_account_id"]
 
 
+def expected_alerts(activity: DataFrame, rules) -> DataFrame:
+    """Alerts of a run that sees every event in the order in which it occurred.
+
+    The groups are those that fire over whole windows (W6); ``trigger_at`` is when the event occurred
+    at which the group reaches its thresholds.  Late rows and arrival order make the real alerts differ.
+    """
+    by_time = activity.withColumn("ingested_at", F.col("occurred_at"))
+    return first_crossing(by_time, rules).select(
+        *KEY, F.col("deduplication_key").alias("scenario_id"), F.col("generated_at").alias("trigger_at"))
+
+
 def match(expected: DataFrame, alerts: DataFrame) -> DataFrame:
     """One row per pairing; outcome TP, FN (expected only) or FP (alert only)."""
     e = expected.withColumn("_rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("scenario_id")))
@@ -57,7 +70,7 @@ def detection_latency(matched: DataFrame) -> DataFrame:
     return tp.agg(F.count(F.lit(1)).alias("true_positives"), F.sum(ms).alias("total_latency_ms")).select(
         "true_positives",
         F.when(F.col("true_positives") == 0, F.lit(0).cast("long"))
-        .otherwise(F.floor(F.col("total_latency_ms") / F.col("true_positives")).cast("long"))
+        .otherwise(F.expr("total_latency_ms div true_positives"))
         .alias("avg_latency_ms"))
 
 

@@ -181,18 +181,26 @@ def first_crossing(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RU
                    generated_at: Column | None = None, gate: bool = True) -> DataFrame:
     """W5 + W8: one ``fraud_candidate`` per firing group, state as of the crossing.
 
-    ``generated_at`` defaults to the arrival time of the crossing event.
+    A crossing event that is delivered several times counts as often as it takes to cross,
+    once in general.  ``generated_at`` defaults to the arrival time of the crossing event.
     """
     rules = tuple(rules)
     cross, ev = crossings(activity, rules, gate)
+    before = F.col("arr") < F.col("crossing")
+    amount_before = F.coalesce(F.sum(F.when(before, F.col("amount_minor"))), F.lit(0))
     snap = (ev.join(cross, GROUP).where(F.col("arr") <= F.col("crossing"))
             .groupBy(*GROUP).agg(
                 F.count_distinct("counterparty").cast("int").alias("distinct_accounts_count"),
-                F.count(F.lit(1)).alias("transaction_count"),
-                F.sum("amount_minor").alias("total_amount_minor"),
+                F.count_if(before).alias("_count"), amount_before.alias("_amount"),
+                F.max(F.when(~before, F.col("amount_minor"))).alias("_last"),
                 F.array_sort(F.collect_set("counterparty")).alias("involved_accounts"),
                 F.array_sort(F.collect_set("transaction_id")).alias("transaction_ids"),
-                F.max("crossing").alias("crossing")))
+                F.max("crossing").alias("crossing"))
+            .withColumn("_short", _per_rule(rules, "min_amount") - F.col("_amount"))
+            .withColumn("_copies", F.greatest(F.lit(1), _per_rule(rules, "min_count") - F.col("_count"),
+                                              F.expr("(_short + _last - 1) div _last")))
+            .withColumn("transaction_count", F.col("_count") + F.col("_copies"))
+            .withColumn("total_amount_minor", F.col("_amount") + F.col("_copies") * F.col("_last")))
     stamp = generated_at if generated_at is not None else F.col("crossing.ts")
     return (identity(with_window_end(snap, rules), rules)
             .withColumn("generated_at", stamp)
@@ -201,39 +209,52 @@ def first_crossing(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RU
 
 
 def candidates(events: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES,
-               drop_late: bool = False, bucket_seconds: int = 1) -> DataFrame:
-    """Validated events -> fraud candidates of all configured rules."""
+               drop_late: bool = True, bucket_seconds: int = 1) -> DataFrame:
+    """Validated events -> fraud candidates of all configured rules; late rows take no part unless ``drop_late`` is off."""
     rules = tuple(rules)
     act = activity_rows(events, rules)
-    if drop_late:
-        late = late_events(act, rules, bucket_seconds).select("rule_type", "event_id", "ingested_at")
-        act = act.join(late, ["rule_type", "event_id", "ingested_at"], "left_anti")
-    return first_crossing(act, rules)
+    return first_crossing(on_time(act, rules, bucket_seconds) if drop_late else act, rules)
 
 
-def late_events(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES,
-                bucket_seconds: int = 1) -> DataFrame:
-    """Rows a streaming rule drops because their window had closed.
+_BUCKETS_PER_SPAN = 3600
+
+
+def _with_stream_time(activity: DataFrame, rules, bucket_seconds: int) -> DataFrame:
+    """Add ``window_start``, ``window_end``, ``stream_time`` and ``late``.
 
     Stream time of a row = max ``occurred_at`` among rows of the same rule that
     arrived strictly before it; the row is late when
-    ``window_end + grace <= stream time``.  The running max is two-level: per
-    arrival bucket, a running max over the bucket table (one row per bucket),
-    then a running max within each bucket -- no unpartitioned window.
+    ``window_end + grace <= stream time``.  The running max has three levels: spans
+    of an hour of buckets (one row per rule and span), buckets inside a span, rows inside a bucket.
     """
-    rules = tuple(rules)
     grace = _per_rule(rules, "grace_seconds")
     w = (windowed(activity, rules, with_end=True).withColumn("arr", arrival())
          .withColumn("_bucket", F.floor(epoch_micros(F.col("ingested_at")) / (bucket_seconds * 1_000_000))))
-    buckets = w.groupBy("rule_type", "_bucket").agg(F.max("occurred_at").alias("_bmax"))
-    before_bucket = Window.partitionBy("rule_type").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select("rule_type", "_bucket", F.max("_bmax").over(before_bucket).alias("_prior"))
+    buckets = (w.groupBy("rule_type", "_bucket").agg(F.max("occurred_at").alias("_bmax"))
+               .withColumn("_span", F.floor(F.col("_bucket") / _BUCKETS_PER_SPAN)))
+    before_span = Window.partitionBy("rule_type").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = (buckets.groupBy("rule_type", "_span").agg(F.max("_bmax").alias("_smax"))
+             .select("rule_type", "_span", F.max("_smax").over(before_span).alias("_before")))
+    in_span = Window.partitionBy("rule_type", "_span").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (buckets.withColumn("_ins", F.max("_bmax").over(in_span)).join(spans, ["rule_type", "_span"])
+               .select("rule_type", "_bucket", F.greatest("_before", "_ins").alias("_prior")))
     in_bucket = Window.partitionBy("rule_type", "_bucket").orderBy("arr").rowsBetween(Window.unboundedPreceding, -1)
     rows = w.withColumn("_inb", F.max("occurred_at").over(in_bucket)).join(buckets, ["rule_type", "_bucket"])
     stream_time = F.greatest(F.col("_prior"), F.col("_inb"))
     closes = shift_micros(F.col("window_end"), grace * 1_000_000)
     return (rows.withColumn("stream_time", stream_time)
-            .where(closes <= F.col("stream_time"))
+            .withColumn("late", F.coalesce(closes <= F.col("stream_time"), F.lit(False))))
+
+
+def on_time(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES, bucket_seconds: int = 1) -> DataFrame:
+    """The activity rows a streaming rule takes: all but W9's."""
+    return _with_stream_time(activity, tuple(rules), bucket_seconds).where(~F.col("late")).select(*activity.columns)
+
+
+def late_events(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES,
+                bucket_seconds: int = 1) -> DataFrame:
+    """Rows a streaming rule drops because their window had closed."""
+    return (_with_stream_time(activity, tuple(rules), bucket_seconds).where(F.col("late"))
             .select("rule_type", "key", "currency", "window_start", "window_end",
                     "event_id", "transaction_id", "occurred_at", "ingested_at", "stream_time"))
 

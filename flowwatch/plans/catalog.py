@@ -1,7 +1,7 @@
 """Query catalog: one callable ``(spark, sf_dir) -> DataFrame`` per operator.
 
-Each reads the driver's tables (``events`` through the fixture recipe, or
-``supplier`` as scenario seeds) and runs over all of their rows.  Set-valued
+Each reads the driver's tables (``events`` through the fixture recipe)
+and runs over all of their rows.  Set-valued
 columns are returned as sorted, comma-joined strings and path-valued ones as
 joined strings in path order, so results can be compared by value.
 """
@@ -14,15 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowwatch import session
-from flowwatch.config import DEFAULT_CYCLE, DEFAULT_RULES, DRIVER_CYCLE, DRIVER_RULES, rule
+from flowwatch.config import DRIVER_CYCLE, DRIVER_RULES, rule
 from flowwatch.functions import epoch_micros, sorted_join
 from flowwatch.operators import activity as act
 from flowwatch.operators import alerts, cycles, evaluation, graph, ledger, metrics, normalise, rules
 from flowwatch.plans import jobs
 from flowwatch.schemas import EVENT_COLUMNS
-from flowwatch.sources import intake, scenario
-from flowwatch.sources.staging import staged
-from flowwatch.sources.tables import load_base_transactions, load_transactions, read_table
+from flowwatch.sources import intake
+from flowwatch.sources.tables import load_base_transactions, load_transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -366,18 +365,12 @@ def q_cycle_prefilter(spark, sf):
 
 
 # ---------------------------------------------------------------- evaluation
-def _scenario(spark, sf) -> DataFrame:
-    session.prepare(spark)
-    return staged(spark, "scenario", sf, lambda: scenario.scenario_transactions(
-        read_table(spark, sf, "supplier").select("s_suppkey")), tables=("supplier",))
-
-
 def _matched(spark, sf) -> tuple[DataFrame, DataFrame]:
-    sc = _scenario(spark, sf)
-    expected = scenario.scenario_expected(sc)
-    valid = normalise.validated(sc.select(*EVENT_COLUMNS))
-    canon = alerts.canonical(jobs.all_alert_events(valid, DEFAULT_RULES, DEFAULT_CYCLE))
-    return evaluation.match(expected, canon), sc
+    """The rules' alerts against those of a run in event order that drops nothing."""
+    valid = _valid(spark, sf)
+    expected = evaluation.expected_alerts(act.activity(valid, DRIVER_RULES), DRIVER_RULES)
+    canon = alerts.canonical(jobs.rule_alerts(valid, DRIVER_RULES))
+    return evaluation.match(expected, canon), valid.select(F.lit("EVENT").alias("kind"))
 
 
 @register("evaluation_match")
@@ -387,8 +380,8 @@ def q_evaluation_match(spark, sf):
 
 @register("evaluation_metrics")
 def q_evaluation_metrics(spark, sf):
-    m, sc = _matched(spark, sf)
-    return evaluation.metrics(m, sc)
+    m, injected = _matched(spark, sf)
+    return evaluation.metrics(m, injected)
 
 
 @register("detection_latency")

@@ -6,7 +6,7 @@ the most direct form, over the same driver tables and fixture recipe.
 
 from __future__ import annotations
 
-from flowwatch.config import DEFAULT_CYCLE, DEFAULT_RULES, DRIVER_CYCLE, DRIVER_RULES, CycleConfig, rule
+from flowwatch.config import DRIVER_CYCLE, DRIVER_RULES, CycleConfig, rule
 from flowwatch.plans.catalog import LOOKUP_ACCOUNT_NAME, LOOKUP_END, LOOKUP_START
 from flowwatch.plans.sqlfrag import EVENT_COLS, REASON, v3, window_start, with_fixture
 
@@ -43,21 +43,31 @@ def _act(src: str, rules, name: str) -> str:
     return f"{name} AS (" + "\nUNION ALL\n".join(parts) + ")"
 
 
-def _rule_ctes(src: str, rules, p: str) -> list[str]:
-    """CTEs ``{p}act``, ``{p}hit`` (crossing rows), ``{p}cand`` (candidates, joined strings)."""
+def _rule_ctes(src: str, rules, p: str, drop_late: bool = True) -> list[str]:
+    """CTEs ``{p}act``, ``{p}hit`` (crossing rows), ``{p}cand`` (candidates, joined strings).
+
+    ``pos`` is the one delivery order that everything below follows, copies included.
+    """
+    late = ("" if not drop_late else " WHERE stream_time IS NULL OR window_end + to_seconds(grace) > stream_time")
     return [
         _act(src, rules, f"{p}act"),
-        f"""{p}fs AS (SELECT *, row_number() OVER (PARTITION BY {GROUP}, counterparty ORDER BY {ARR}) AS fs_rn
-              FROM {p}act)""",
+        f"""{p}st AS (SELECT *, max(occurred_at) OVER (PARTITION BY rule_type ORDER BY {ARR}
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stream_time FROM {p}act)""",
+        f"""{p}pos AS (SELECT * EXCLUDE (stream_time), row_number() OVER (PARTITION BY {GROUP} ORDER BY {ARR}) AS pos
+              FROM {p}st{late})""",
+        f"""{p}fs AS (SELECT *, row_number() OVER (PARTITION BY {GROUP}, counterparty ORDER BY pos) AS fs_rn
+              FROM {p}pos)""",
         f"""{p}run AS (SELECT *, sum(CASE WHEN fs_rn = 1 THEN 1 ELSE 0 END) OVER g AS run_d,
-              count(*) OVER g AS run_c, sum(amount_minor) OVER g AS run_a FROM {p}fs
-              WINDOW g AS (PARTITION BY {GROUP} ORDER BY {ARR} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
-        f"""{p}hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {GROUP} ORDER BY {ARR}) AS h_rn
-              FROM {p}run WHERE run_d >= min_d AND (min_c <= 0 OR run_c >= min_c) AND (min_a <= 0 OR run_a >= min_a))
-              WHERE h_rn = 1)""",
-        f"""{p}upto AS (SELECT a.*, h.hashed AS h_hashed, h.ingested_at AS cross_ts, h.event_id AS cross_id
-              FROM {p}hit h JOIN {p}act a USING (rule_type, key, currency, window_start)
-              WHERE a.ingested_at < h.ingested_at OR (a.ingested_at = h.ingested_at AND a.event_id <= h.event_id))""",
+              sum(amount_minor) OVER g AS run_a FROM {p}fs
+              WINDOW g AS (PARTITION BY {GROUP} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+        f"""{p}hit AS (SELECT rule_type, key, currency, window_start, min(pos) AS cross_pos FROM {p}run
+              WHERE run_d >= min_d AND (min_c <= 0 OR pos >= min_c) AND (min_a <= 0 OR run_a >= min_a)
+              GROUP BY ALL)""",
+        f"""{p}upto AS (SELECT a.*, a.hashed AS h_hashed, c.ingested_at AS cross_ts, c.event_id AS cross_id
+              FROM {p}hit h JOIN {p}pos a USING (rule_type, key, currency, window_start)
+              JOIN {p}pos c ON c.rule_type = h.rule_type AND c.key = h.key AND c.currency = h.currency
+                AND c.window_start = h.window_start AND c.pos = h.cross_pos
+              WHERE a.pos <= h.cross_pos)""",
         f"""{p}snap AS (SELECT rule_type, key, currency, window_start, window_end, h_hashed AS hashed, cross_ts, cross_id,
               CAST(count(DISTINCT counterparty) AS INTEGER) AS distinct_accounts_count,
               count(*) AS transaction_count, CAST(sum(amount_minor) AS BIGINT) AS total_amount_minor,
@@ -211,65 +221,14 @@ def _dead_letter_cte() -> str:
           FROM valid WHERE NOT coalesce(regexp_full_match(correlation_id, '""" + UUID_RE + """'), false))"""
 
 
-def _scenario_ctes() -> list[str]:
-    def acct(*parts):
-        return v3("'sc-'||b||'-'||" + "||".join(parts))
-    i, j = "CAST(i AS VARCHAR)", "CAST(j AS VARCHAR)"
-    leg = "CASE j WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END"
-    return [
-        """sc0 AS (SELECT s_suppkey AS block, unnest(range(0, 325)) AS r FROM supplier)""",
-        """sc1 AS (SELECT *, CASE WHEN r < 100 THEN 'NOISE' WHEN r < 150 THEN 'FO' WHEN r < 200 THEN 'FI'
-              WHEN r < 230 THEN 'SD' WHEN r < 260 THEN 'SI' WHEN r < 275 THEN 'CF' ELSE 'FUTURE' END AS kind,
-              CASE WHEN r < 100 THEN r WHEN r < 150 THEN r - 100 WHEN r < 200 THEN r - 150 WHEN r < 230 THEN r - 200
-              WHEN r < 260 THEN r - 230 WHEN r < 275 THEN r - 260 ELSE r - 275 END AS o FROM sc0)""",
-        """sc2 AS (SELECT *, CAST(block AS VARCHAR) AS b,
-              CAST(o // (CASE WHEN kind IN ('FO','FI') THEN 5 WHEN kind IN ('SD','SI','CF') THEN 3 ELSE 1 END) AS INTEGER) AS i,
-              CAST(o % (CASE WHEN kind IN ('FO','FI') THEN 5 WHEN kind IN ('SD','SI','CF') THEN 3 ELSE 1 END) AS INTEGER) AS j
-              FROM sc1)""",
-        f"""sc AS (SELECT block, kind, i, j,
-              {v3("'sc-ev-'||b||'-'||CAST(r AS VARCHAR)")} AS event_id,
-              {v3("'sc-tx-'||b||'-'||CAST(r AS VARCHAR)")} AS transaction_id,
-              1 AS schema_version,
-              {v3("'sc-co-'||b||'-'||CAST(r AS VARCHAR)")} AS correlation_id,
-              CASE kind WHEN 'NOISE' THEN {acct("'noise-src-'", i)} WHEN 'FO' THEN {acct("'fo-src-'", i)}
-                WHEN 'FI' THEN {acct("'fi-src-'", i, "'-'", j)} WHEN 'SD' THEN {acct("'sd-src-'", i, "'-'", j)}
-                WHEN 'SI' THEN {acct("'si-src-'", i, "'-'", j)}
-                WHEN 'CF' THEN (CASE j WHEN 0 THEN {acct("'cf-a-'", i)} WHEN 1 THEN {acct("'cf-b-'", i)} ELSE {acct("'cf-c-'", i)} END)
-                ELSE {acct("'future-src-'", i)} END AS source_account_id,
-              CASE kind WHEN 'NOISE' THEN {acct("'noise-dst-'", i)} WHEN 'FO' THEN {acct("'fo-dst-'", i, "'-'", j)}
-                WHEN 'FI' THEN {acct("'fi-dst-'", i)} WHEN 'SD' THEN {acct("'sd-dst-'", i, "'-'", j)}
-                WHEN 'SI' THEN {acct("'si-dst-'", i, "'-'", j)}
-                WHEN 'CF' THEN (CASE j WHEN 0 THEN {acct("'cf-b-'", i)} WHEN 1 THEN {acct("'cf-c-'", i)} ELSE {acct("'cf-a-'", i)} END)
-                ELSE {acct("'future-dst-'", i)} END AS destination_account_id,
-              CAST(CASE kind WHEN 'NOISE' THEN 5000 WHEN 'FUTURE' THEN 100 ELSE 1000 END AS BIGINT) AS amount_minor,
-              'USD' AS currency,
-              CASE kind WHEN 'NOISE' THEN 'dev_'||b||'_'||{i} WHEN 'FO' THEN 'dev_fo_'||b||'_'||{i}
-                WHEN 'FI' THEN 'dev_fi_'||b||'_'||{i} WHEN 'SD' THEN 'SHARED_DEV_'||b||'_'||{i}
-                WHEN 'SI' THEN 'dev_si_'||b||'_'||{i}||'_'||{j} WHEN 'CF' THEN 'dev_c_'||b||'_'||{i}||{leg}
-                ELSE 'dev_future_'||b||'_'||{i} END AS device_id,
-              CASE kind WHEN 'NOISE' THEN 'ip_'||b||'_'||{i} WHEN 'FO' THEN 'ip_fo_'||b||'_'||{i}
-                WHEN 'FI' THEN 'ip_fi_'||b||'_'||{i} WHEN 'SD' THEN 'ip_sd_'||b||'_'||{i}||'_'||{j}
-                WHEN 'SI' THEN 'SHARED_IP_'||b||'_'||{i} WHEN 'CF' THEN 'ip_c_'||b||'_'||{i}||{leg}
-                ELSE 'ip_future_'||b||'_'||{i} END AS ip_hash,
-              TIMESTAMP '2026-01-01 00:00:00' + to_seconds(CASE kind WHEN 'NOISE' THEN i * 10
-                WHEN 'FO' THEN 3600 + i * 100 + j WHEN 'FI' THEN 7200 + i * 100 + j
-                WHEN 'SD' THEN 10800 + i * 100 + j WHEN 'SI' THEN 14400 + i * 100 + j
-                WHEN 'CF' THEN 18000 + i * 10000 + j * 3600 ELSE 864000 + i END) AS occurred_at
-              FROM sc2)""",
-        """scx AS (SELECT *, occurred_at + INTERVAL 200 MILLISECOND AS ingested_at FROM sc)""",
-        f"""sc_valid AS (SELECT {EVENT_COLS} FROM scx WHERE ({REASON}) IS NULL)""",
-        f"""exp AS (SELECT CASE kind WHEN 'FO' THEN 'FAN_OUT' WHEN 'FI' THEN 'FAN_IN' WHEN 'SD' THEN 'SHARED_DEVICE'
-              WHEN 'SI' THEN 'SHARED_IP' ELSE 'CIRCULAR_FLOW' END AS rule_type,
-              CASE kind WHEN 'FO' THEN source_account_id WHEN 'FI' THEN destination_account_id
-              WHEN 'SD' THEN {v3('device_id')} WHEN 'SI' THEN {v3('ip_hash')} ELSE source_account_id END
-              AS primary_account_id,
-              kind||'_'||CAST(block AS VARCHAR)||'_'||CAST(i AS VARCHAR) AS scenario_id, occurred_at AS trigger_at
-              FROM scx WHERE (kind IN ('FO','FI') AND j = 4) OR (kind IN ('SD','SI','CF') AND j = 2))""",
-    ]
-
-
 def _match_ctes() -> list[str]:
-    return _scenario_ctes() + _alert_ctes("sc_valid", DEFAULT_RULES, DEFAULT_CYCLE, "s_") + [
+    return _rule_ctes("valid", DRIVER_RULES, "s_") + [
+        "by_time AS (SELECT * REPLACE (occurred_at AS ingested_at) FROM valid)",
+        *_rule_ctes("by_time", DRIVER_RULES, "x_", drop_late=False),
+        """exp AS (SELECT rule_type, primary_account_id, deduplication_key AS scenario_id, generated_at AS trigger_at
+              FROM x_cand)""",
+        """s_alerts AS (SELECT rule_type, primary_account_id, candidate_id AS alert_id, generated_at AS created_at
+              FROM s_cand)""",
         """em AS (SELECT *, row_number() OVER (PARTITION BY rule_type, primary_account_id ORDER BY scenario_id) AS rk
               FROM exp)""",
         """am AS (SELECT rule_type, primary_account_id, alert_id, created_at, row_number() OVER
@@ -417,7 +376,7 @@ def build() -> dict[str, str]:
     q["evaluation_match"] = _q(*mt, body="SELECT * FROM mt")
     q["evaluation_metrics"] = _q(*mt, """cnt AS (SELECT count(*) FILTER (WHERE outcome = 'TP') AS tp,
           count(*) FILTER (WHERE outcome = 'FP') AS fp, count(*) FILTER (WHERE outcome = 'FN') AS fn,
-          (SELECT count(*) FROM scx WHERE kind <> 'FUTURE') AS total_transactions FROM mt),
+          (SELECT count(*) FROM valid) AS total_transactions FROM mt),
         pr AS (SELECT *, CASE WHEN tp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (CAST(tp AS DOUBLE) + CAST(fp AS DOUBLE)) END AS precision,
           CASE WHEN tp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (CAST(tp AS DOUBLE) + CAST(fn AS DOUBLE)) END AS recall,
           CAST(total_transactions - tp - fn AS DOUBLE) AS neg FROM cnt)""", body="""
@@ -428,7 +387,7 @@ def build() -> dict[str, str]:
         FROM pr""")
     q["detection_latency"] = _q(*mt, body="""SELECT count(*) AS true_positives,
         CASE WHEN count(*) = 0 THEN CAST(0 AS BIGINT) ELSE
-          CAST(floor(sum((epoch_us(created_at) - epoch_us(trigger_at)) // 1000) / count(*)) AS BIGINT) END
+          CAST(sum((epoch_us(created_at) - epoch_us(trigger_at)) // 1000) // count(*) AS BIGINT) END
           AS avg_latency_ms
         FROM mt WHERE outcome = 'TP'""")
     q["evaluation_misses"] = _q(*mt, body="SELECT * FROM mt WHERE outcome <> 'TP'")

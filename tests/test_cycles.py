@@ -74,3 +74,17 @@ def test_prefilter_keeps_cycle_edges(events):
     ev = events(rows)
     kept = {(r.src, r.dst) for r in cycles.prefilter(graph.edges(graph.processed(ev)), ev).collect()}
     assert kept == {(A, B), (B, C), (C, A)}
+
+
+def test_hub_meets_only_edges_of_its_amounts(events):
+    """Payments into and out of a hub lie in different amount bands: the join makes no pairs."""
+    hub = acct("HUB")
+    rows = [event(f"i{k}", acct(f"I{k}"), hub, amount=4 ** (k % 8) * 10, at=k) for k in range(16)]
+    rows += [event(f"o{k}", hub, acct(f"O{k}"), amount=4 ** (k % 8) * 20, at=20 + k) for k in range(16)]
+    cand = cycles.cycle_candidates(events(rows), CFG)
+    assert max(len(r.bands) for r in cand.select("bands").collect()) <= 2
+    assert paths(events, rows) == []
+    for tol in (0, 10, 59, 100, 250):
+        cfg = CycleConfig(3, 86400, tol)
+        two = [event("x", acct("A"), acct("B"), amount=1000, at=0), event("y", acct("B"), acct("A"), amount=1000, at=9)]
+        assert len(paths(events, two, cfg)) == 1, tol

@@ -115,3 +115,31 @@ def test_evidence_explodes(events):
     rows = [event(f"e{i}", acct("A"), acct(f"D{i}"), at=i) for i in range(5)]
     c = rules.candidates(events(rows), (FO,))
     assert rules.evidence_accounts(c).count() == 5 and rules.evidence_transactions(c).count() == 5
+
+
+def test_crossing_event_delivered_twice_counts_once(events):
+    rows = [event(f"e{i}", acct("A"), acct(f"D{i}"), at=i) for i in range(5)]
+    c = cands(events, rows + [rows[-1]], (FO,))[0]
+    assert (c.distinct_accounts_count, c.transaction_count, c.total_amount_minor) == (5, 5, 5000)
+    # an earlier copy counts; a copy of the last event counts where a threshold needs it
+    assert cands(events, rows + [rows[0]], (FO,))[0].transaction_count == 6
+    need = RuleConfig("FAN_OUT", 60, 15, 5, min_count=6)
+    assert cands(events, rows + [rows[-1]] * 3, (need,))[0].transaction_count == 6
+    need = RuleConfig("FAN_OUT", 60, 15, 5, min_amount=6500)
+    assert cands(events, rows + [rows[-1]] * 3, (need,))[0].total_amount_minor == 7000
+
+
+def test_stream_time_crosses_spans_of_buckets(events):
+    rows = [event("a", acct("A"), acct("D1"), at=0, arrival=0),
+            event("b", acct("A"), acct("D2"), at=90, arrival=2),
+            event("c", acct("A"), acct("D3"), at=5, arrival=3 * 3600),     # stream time from two spans before
+            event("d", acct("A"), acct("D4"), at=80, arrival=3 * 3600 + 1)]
+    late = rules.late_events(activity(events(rows), (FO,)), (FO,)).collect()
+    assert [r.event_id for r in late] == ["c"]
+
+
+def test_expected_alerts_follow_event_time(events):
+    from flowwatch.operators import evaluation
+    rows = [event(f"e{i}", acct("A"), acct(f"D{i}"), at=i, arrival=10 * i + 3) for i in range(5)]
+    e = evaluation.expected_alerts(activity(events(rows), (FO,)), (FO,)).collect()
+    assert [r.trigger_at for r in e] == [T0.replace(second=4)]

@@ -10,12 +10,17 @@ from flowwatch.config import RuleConfig
 from flowwatch.operators import rules
 
 
-def brute_force(rows, cfg):
-    """The reference's per-event state update, group by group, in arrival order."""
+def brute_force(rows, cfg, drop_late):
+    """The per-event state update, group by group, in arrival order; a closed window takes no more rows."""
     key_idx, cp_idx = {"FAN_OUT": (4, 5), "FAN_IN": (5, 4)}[cfg.rule_type]
-    groups = {}
+    groups, stream_time = {}, 0
     for r in sorted(rows, key=lambda r: (r[11], r[0])):
-        w = int(r[10].replace(tzinfo=dt.timezone.utc).timestamp()) // cfg.window_seconds
+        at = int(r[10].replace(tzinfo=dt.timezone.utc).timestamp())
+        w = at // cfg.window_seconds
+        closed = (w + 1) * cfg.window_seconds + cfg.grace_seconds <= stream_time
+        stream_time = max(stream_time, at)
+        if closed and drop_late:
+            continue
         groups.setdefault((r[key_idx], r[7], w), []).append(r)
     out = {}
     for g, evs in groups.items():
@@ -29,13 +34,14 @@ def brute_force(rows, cfg):
     return out
 
 
+@pytest.mark.parametrize("drop_late", [True, False])
 @pytest.mark.parametrize("seed,cfg", [
     (1, RuleConfig("FAN_OUT", 60, 15, 4)),
     (2, RuleConfig("FAN_OUT", 60, 15, 3, min_count=6)),
     (3, RuleConfig("FAN_OUT", 120, 15, 3, min_amount=2500)),
     (4, RuleConfig("FAN_IN", 60, 15, 3, min_count=4, min_amount=1500)),
 ])
-def test_first_crossing_matches_fold(events, seed, cfg):
+def test_first_crossing_matches_fold(events, seed, cfg, drop_late):
     rnd = random.Random(seed)
     rows = []
     for i in range(600):
@@ -48,9 +54,10 @@ def test_first_crossing_matches_fold(events, seed, cfg):
         arrival = at + rnd.randrange(0, 90)                 # arrival order differs from event order
         rows.append(event(f"e{i:04d}", src, dst, amount=rnd.randrange(50, 900), at=at, arrival=arrival,
                           currency=rnd.choice(["USD", "USD", "EUR"])))
-    want = brute_force(rows, cfg)
+    rows += rnd.sample(rows, 60) + rnd.sample(rows, 20)     # delivered again, unchanged
+    want = brute_force(rows, cfg, drop_late)
     got = {}
-    for c in rules.candidates(events(rows), (cfg,)).collect():
+    for c in rules.candidates(events(rows), (cfg,), drop_late=drop_late).collect():
         key = c.primary_account_id
         w = int(c.window_start.replace(tzinfo=dt.timezone.utc).timestamp()) // cfg.window_seconds
         got[(key, c.currency, w)] = (c.trigger_event_id, c.distinct_accounts_count, c.transaction_count,
