@@ -3,10 +3,11 @@
 Base rules look at words and lines.  The method's verdict is the perplexity of a document's words under a byte n-gram model of
 its language (orders 1 to 5 inside words marked ``<`` and ``>``), interpolated modified Kneser-Ney.  Spark counts the
 n-grams of all documents: tasks count their own distinct words, partial counts are summed per (language, n-gram), and
-continuation counts, discounts, probabilities and back-off weights are joins and aggregates over the n-gram table.  Scorers
-hold the result as sorted hash arrays: hashes are reduced to ``SLOTS`` values per order, so what is broadcast has a fixed
-largest size; n-grams that share a slot share the mean of their values.  A document is rejected outside its language's
-band: quartiles of the log perplexity of that language's documents, ``reach`` half-spreads away from the median.
+continuation counts, discounts, probabilities and back-off weights are joins and aggregates over the n-gram table.  The
+result keeps every n-gram's own key and grows with the corpus.  Scorers hold it as sorted arrays, at most ``PART`` n-grams at
+a time: a larger table is dealt by hash into parts, each part scores the n-grams it has in a pass over the documents, and a
+document's parts are summed.  All scored documents were counted, so no n-gram is missing.  A document is rejected outside its
+language's band: quartiles of the log perplexity of that language's documents, ``reach`` half-spreads away from the median.
 
 Defined results: a null text is empty; texts without words have no perplexity and fall to the base rules; a null
 language is a group of its own; a group with equal quartiles still keeps documents within the slacks around the median;
@@ -28,13 +29,12 @@ from .wordcache import WordValues, gather_spans
 from .workspace import Workspace
 
 ORDER = 5
-#: Prime number of slots of an order's hash array.
-SLOTS = 1048573
-_FOLD, _STEP = 2147483647, 1103515245
+#: N-grams that a pass over the documents holds, about 12 bytes each.
+PART = 1 << 22
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 NONE = "-"                     # language of documents without one
-_OPEN, _CLOSE = 1, 2           # bytes of the word marks: control characters, which words of prose do not hold
+_OPEN, _CLOSE = 0xFF, 0xFE     # bytes of the word marks, which UTF-8 never holds
 
 
 @dataclass(frozen=True)
@@ -55,18 +55,16 @@ def _framed(data: np.ndarray, word_bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return out, out_bounds
 
 
-def _keys(framed: np.ndarray, word_bounds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """keys[k]: for each position the n-gram of k + 1 bytes that ends there, order in the high bits, -1 where the word
-    has not so many before; and the position within the word."""
+def _keys(framed: np.ndarray, word_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the n-gram that ends there, as long as the word allows up to ``ORDER`` bytes, its length in the high
+    bits; and the position within the word."""
     size = np.diff(word_bounds)
     place = np.arange(len(framed)) - np.repeat(word_bounds[:-1], size)
     code = framed.astype(np.int64)
-    out, key = [], np.zeros(len(framed), np.int64)
-    for k in range(ORDER):
-        key = key.copy()
-        key[k:] |= code[:len(code) - k] << (8 * k)
-        out.append(np.where(place >= k, key | (k + 1) << 40, -1))
-    return out, place
+    key = code | np.minimum(place + 1, ORDER) << 40
+    for k in range(1, ORDER):
+        key[k:] |= np.where(place[k:] >= k, code[:len(code) - k] << (8 * k), 0)
+    return key, place
 
 
 def _counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +105,8 @@ def raw_counts(docs: DataFrame) -> DataFrame:
                     framed, word_bounds = _framed(*gather_spans(data, start[one], end[one]))
                     keys, place = _keys(framed, word_bounds)
                     weight = np.repeat(times, np.diff(word_bounds))
-                    parts = [keys[-1][place >= ORDER - 1]]
-                    loads = [weight[place >= ORDER - 1]]
-                    for k in range(1, ORDER - 1):
-                        opening = place == k
-                        parts.append(keys[k][opening])
-                        loads.append(weight[opening])
-                    held.setdefault(str(name), []).append(_counted(np.concatenate(parts), np.concatenate(loads)))
+                    scored = place > 0                       # the opening mark is given
+                    held.setdefault(str(name), []).append(_counted(keys[scored], weight[scored]))
                     waiting += len(held[str(name)][-1][0])
             if waiting > 4_000_000:
                 yield from flush()
@@ -144,7 +137,8 @@ def adjusted_counts(raw: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def model_table(adjusted: DataFrame, ws: Workspace) -> DataFrame:
-    """(size, slot, logp, back): interpolated probability of each n-gram and back-off weight of each context, by hash slot."""
+    """(lang, gram, logp): interpolated log probability of the n-grams that score a position: full ones, and shorter ones that
+    open a word."""
     grams = ws.table(adjusted.withColumn("size", _size("gram").cast("int")).withColumn(
         "context", F.shiftright(F.col("gram").bitwiseAND((1 << 40) - 1), 8)), "grams")
     times = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
@@ -163,6 +157,7 @@ def model_table(adjusted: DataFrame, ws: Workspace) -> DataFrame:
     contexts = ws.table(grams.groupBy("lang", "size", "context").agg(
         F.sum("n").alias("total"), (F.sum("taken") / F.sum("n")).alias("back")), "contexts")
     lower, every = None, None
+    opens = F.expr(f"shiftright(gram & {(1 << 40) - 1}, 8 * (size - 1)) = {_OPEN}")
     for k in range(1, ORDER + 1):
         now = grams.where(F.col("size") == k).join(contexts, ["lang", "size", "context"])
         if lower is None:
@@ -175,70 +170,35 @@ def model_table(adjusted: DataFrame, ws: Workspace) -> DataFrame:
         now = now.select("lang", "size", "gram", ((F.col("n") - F.col("taken")) / F.col("total") + F.col("back") * F.col("below")).alias("p"))
         lower = ws.table(now, f"p{k}")
         every = lower if every is None else every.union(lower)
-    p = every.select("size", slot_of("lang", "gram").alias("slot"), F.log("p").alias("logp"), F.lit(None).cast("double").alias("back"))
-    b = contexts.select("size", slot_of_context("lang", "context").alias("slot"), F.lit(None).cast("double").alias("logp"),
-                        F.log("back").alias("back"))
-    return p.union(b).groupBy("size", "slot").agg(F.avg("logp").alias("logp"), F.avg("back").alias("back"))
-
-
-def _slot_column(lang: F.Column, key: F.Column) -> F.Column:
-    return ((key % _FOLD) * _STEP + F.crc32(lang.cast("binary"))) % SLOTS
-
-
-def slot_of(lang: str, gram: str) -> F.Column:
-    return _slot_column(F.col(lang), F.col(gram).bitwiseAND((1 << 40) - 1)).cast("int")
-
-
-def slot_of_context(lang: str, context: str) -> F.Column:
-    return _slot_column(F.col(lang), F.col(context)).cast("int")
-
-
-def _slots(lang: str, keys: np.ndarray) -> np.ndarray:
-    return ((keys % _FOLD) * _STEP + zlib.crc32(lang.encode())) % SLOTS
+    return every.where((F.col("size") == ORDER) | opens).select("lang", "gram", F.log("p").cast("float").alias("logp"))
 
 
 class Model:
-    """Sorted hash arrays per order: slots with log probabilities, slots with back-off weights."""
+    """Sorted n-grams of each language with their log probabilities: the whole table or a part of it."""
 
     def __init__(self, rows: pa.Table):
-        size, slot = rows["size"].to_numpy(), rows["slot"].to_numpy()
-        self.grams, self.backs = [], []
-        for column, out in (("logp", self.grams), ("back", self.backs)):
-            value = rows[column].to_numpy()
-            for k in range(1, ORDER + 1):
-                mine = np.flatnonzero((size == k) & ~np.isnan(value))
-                order = mine[np.argsort(slot[mine])]
-                out.append((slot[order].astype(np.int32), value[order].astype(np.float32)))
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(table[0], slots)
-        at[at == len(table[0])] = 0
-        if len(table[0]) == 0:
-            return np.zeros(len(slots), bool), np.zeros(len(slots), np.float32)
-        return table[0][at] == slots, table[1][at]
+        lang, gram, logp = rows["lang"].combine_chunks().dictionary_encode(), rows["gram"].to_numpy(), rows["logp"].to_numpy()
+        if isinstance(lang, pa.ChunkedArray):
+            lang = lang.combine_chunks() if lang.num_chunks != 1 else lang.chunk(0)
+        code = lang.indices.to_numpy()
+        self.tables = {}
+        for c, name in enumerate(lang.dictionary.to_pylist()):
+            mine = np.flatnonzero(code == c)
+            order = mine[np.argsort(gram[mine])]
+            self.tables[name] = gram[order], logp[order]
 
     def words(self, lang: str, data: np.ndarray, word_bounds: np.ndarray) -> np.ndarray:
-        """(words, 2): minus log probability of each word's bytes and end, and how many they are."""
+        """(words, 2): minus log probability of each word's bytes and end as far as the table has them, and how many they are."""
         framed, word_bounds = _framed(data, word_bounds)
         keys, place = _keys(framed, word_bounds)
-        n = len(framed)
-        logp, done = np.zeros(n, np.float32), place == 0         # the opening mark is given
-        for k in range(ORDER, 0, -1):
-            at = np.flatnonzero(~done & (place >= k - 1))
-            if len(at) == 0:
-                continue
-            key = keys[k - 1][at] & ((1 << 40) - 1)
-            hit, value = self._find(self.grams[k - 1], _slots(lang, key).astype(np.int32))
-            logp[at[hit]] += value[hit]
-            done[at[hit]] = True
-            missed = at[~hit]
-            seen, back = self._find(self.backs[k - 1], _slots(lang, key[~hit] >> 8).astype(np.int32))
-            logp[missed[seen]] += back[seen]
-        logp[~done] -= np.log(256)
-        word = np.repeat(np.arange(len(word_bounds) - 1), np.diff(word_bounds))
         m = len(word_bounds) - 1
-        return np.stack((-np.bincount(word, logp, m), np.diff(word_bounds) - 1.0), 1)
+        nll = np.zeros(m)
+        grams, logp = self.tables.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.float32)))
+        if len(grams):
+            at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
+            value = np.where((grams[at] == keys) & (place > 0), logp[at], 0)
+            nll = -np.bincount(np.repeat(np.arange(m), np.diff(word_bounds)), value, m)
+        return np.stack((nll, np.diff(word_bounds) - 1.0), 1)
 
 
 def _base(data: np.ndarray, offs: np.ndarray, start, end, doc, hashes) -> list[np.ndarray]:
@@ -280,12 +240,13 @@ def _base(data: np.ndarray, offs: np.ndarray, start, end, doc, hashes) -> list[n
     return [counts_per_doc(doc, n), seen(points & inside), seen(SYMBOLS[data]), dup, repeat]
 
 
-COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nll double"
+COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, tie long, nll double, size double"
 
 
-def measured(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, base features, nll) of every document; nll is the mean minus log probability per byte of its words."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)      # at most 2 * ORDER * SLOTS entries of 8 bytes
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang, base features, tie, nll, size) of every document: minus log probability of the n-grams that the model has, and
+    the number of bytes; tie is xxhash64 of the text."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)      # at most PART n-grams
 
     def run(batches):
         current = ["-"]
@@ -308,24 +269,49 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
                         nll += np.bincount(doc[mine], v[:, 0], m)
                         size += np.bincount(doc[mine], v[:, 1], m)
                 base = _base(data, offs, start, end, doc, hashes)
-                mean = pa.array(nll / np.maximum(size, 1), pa.float64(), mask=size == 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, m), batch.column(2).slice(lo, m), *(pa.array(b, pa.int64()) for b in base), mean],
+                    [batch.column(0).slice(lo, m), batch.column(2).slice(lo, m), *(pa.array(b, pa.int64()) for b in base),
+                     batch.column(3).slice(lo, m), pa.array(nll, pa.float64()), pa.array(size, pa.float64())],
                     names=["doc_id", "lang", *(c.split()[0] for c in COLUMNS.split(", "))])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).mapInArrow(
-        run, f"doc_id long, lang string, {COLUMNS}")
-
-
-def build_model(docs: DataFrame, ws: Workspace) -> Model:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"),
+                       F.xxhash64("text").alias("tie")).mapInArrow(run, f"doc_id long, lang string, {COLUMNS}")
+
+
+def measured(docs: DataFrame, table: DataFrame, ws: Workspace, part: int = PART) -> DataFrame:
+    """(doc_id, lang, base features, nll) of every document; nll is the mean minus log probability per byte of its words.
+    ``table`` is the n-gram table; a pass over the documents holds about ``part`` n-grams of it."""
+    parts = max(1, -(-table.count() // part))
+    dealt = F.pmod(F.xxhash64("lang", "gram"), F.lit(parts))
+    rows, more = None, None
+    for k in range(parts):
+        now = _scored(docs, Model(table.where(dealt == k).toArrow()))
+        if parts == 1:
+            rows = now
+            break
+        now = ws.table(now, f"part{k}")
+        if rows is None:
+            rows = now
+        else:                                                  # repeated rows score alike: one of them counts
+            now = now.groupBy("doc_id", "lang", "tie").agg(F.max("nll").alias("more"))
+            more = now if more is None else more.union(now)
+    if more is not None:
+        more = more.groupBy("doc_id", "lang", "tie").agg(F.sum("more").alias("more"))
+        same = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("doc_id", "lang", "tie")]
+        rows = rows.alias("r").join(more.alias("m"), same, "left").select(
+            *(F.col(f"r.{c}") for c in rows.columns if c != "nll"), (F.col("nll") + F.col("more")).alias("nll"))
+    return rows.withColumn("nll", F.try_divide("nll", "size")).drop("tie", "size")
+
+
+def build_model(docs: DataFrame, ws: Workspace) -> DataFrame:
     raw = ws.table(raw_counts(docs), "raw")
-    return Model(model_table(adjusted_counts(raw, ws), ws).toArrow())
+    return ws.table(model_table(adjusted_counts(raw, ws), ws), "model")
 
 
 def judged(docs: DataFrame, cfg: BandConfig = BandConfig()) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, nll, low, high)."""
     ws = Workspace(docs.sparkSession, "perplexity")
-    rows = ws.table(measured(docs, build_model(docs, ws)).withColumn(
+    rows = ws.table(measured(docs, build_model(docs, ws), ws).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "measured")
     group = F.coalesce("lang", F.lit(NONE)).alias("group")
     q = (rows.where(~F.col("base_failed")).groupBy(group)
