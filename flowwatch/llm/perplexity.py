@@ -1,22 +1,22 @@
 """Operator 8: quality rules with n-gram perplexity bands.
 
-Base rules look at words and lines.  The method's verdict is the perplexity of a document's words under a byte n-gram model of
-its language (orders 1 to 5 inside words marked ``<`` and ``>``), interpolated modified Kneser-Ney.  Spark counts the
-n-grams of all documents: tasks count their own distinct words, partial counts are summed per (language, n-gram), and
-continuation counts, discounts, probabilities and back-off weights are joins and aggregates over the n-gram table.  The
+Base rules look at words and lines.  The method's verdict is the perplexity of a document's running text, its words with one
+blank after each, under a byte n-gram model of its language (orders 1 to 5, across word borders), interpolated modified
+Kneser-Ney.  Spark counts the n-grams of all documents: tasks count their own, partial counts are summed per (language, n-gram),
+and continuation counts, discounts, probabilities and back-off weights are joins and aggregates over the n-gram table.  The
 result keeps every n-gram's own key and grows with the corpus.  Scorers hold it as sorted arrays, at most ``PART`` n-grams at
 a time: a larger table is dealt by hash into parts, each part scores the n-grams it has in a pass over the documents, and a
 document's parts are summed.  All scored documents were counted, so no n-gram is missing.  A document is rejected outside its
-language's band: quartiles of the log perplexity of that language's documents, ``reach`` half-spreads away from the median.
+language's band: ``reach`` half-spreads of that language's own documents away from their median log perplexity, where a
+half-spread is the distance of the median from the quartile on that side.
 
 Defined results: a null text is empty; texts without words have no perplexity and fall to the base rules; a null
-language is a group of its own; a group with equal quartiles still keeps documents within the slacks around the median;
+language is a group of its own; a group with equal quartiles keeps the documents at the median;
 repeated rows are judged alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import U64, SpanHasher, bounds, counts_per_doc, mix64, text_slices, word_spans
-from .wordcache import WordValues, gather_spans
+from .wordcache import gather_spans
 from .workspace import Workspace
 
 ORDER = 5
@@ -34,32 +34,31 @@ PART = 1 << 22
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 NONE = "-"                     # language of documents without one
-_OPEN, _CLOSE = 0xFF, 0xFE     # bytes of the word marks, which UTF-8 never holds
+_OPEN = 0xFF                   # byte of the mark before a text, which UTF-8 never holds
 
 
 @dataclass(frozen=True)
 class BandConfig:
     reach: float = 6.0               # half-spreads from the median to either border
-    low_slack: float = 0.2           # the band is at least so wide below the median: repetitive or one-note text
-    high_slack: float = 0.7          # and above it: text in two languages is clean and reaches far up
 
 
-def _framed(data: np.ndarray, word_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.diff(word_bounds) + 2
-    out_bounds = bounds(size)
-    out = np.empty(int(out_bounds[-1]), np.uint8)
-    out[out_bounds[:-1]], out[out_bounds[1:] - 1] = _OPEN, _CLOSE
+def _framed(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, bounds, documents) of the texts that the words form: the opening mark, then each word with a blank."""
+    first = np.concatenate(([True], doc[1:] != doc[:-1]))
+    word_bounds = bounds(end - start + 1 + first)
+    out = np.full(int(word_bounds[-1]), 0x20, np.uint8)
     inside = np.ones(len(out), bool)
-    inside[out_bounds[:-1]] = inside[out_bounds[1:] - 1] = False
-    out[inside] = data
-    return out, out_bounds
+    inside[word_bounds[1:] - 1] = inside[word_bounds[:-1][first]] = False
+    out[inside] = gather_spans(data, start, end)[0]
+    out[word_bounds[:-1][first]] = _OPEN
+    return out, np.append(word_bounds[:-1][first], len(out)), doc[first]
 
 
-def _keys(framed: np.ndarray, word_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each position the n-gram that ends there, as long as the word allows up to ``ORDER`` bytes, its length in the high
-    bits; and the position within the word."""
-    size = np.diff(word_bounds)
-    place = np.arange(len(framed)) - np.repeat(word_bounds[:-1], size)
+def _keys(framed: np.ndarray, text_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the n-gram that ends there, as long as the text allows up to ``ORDER`` bytes, its length in the high
+    bits; and the position within the text."""
+    size = np.diff(text_bounds)
+    place = np.arange(len(framed)) - np.repeat(text_bounds[:-1], size)
     code = framed.astype(np.int64)
     key = code | np.minimum(place + 1, ORDER) << 40
     for k in range(1, ORDER):
@@ -75,7 +74,7 @@ def _counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def raw_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) summed over all documents: full-order n-grams, and shorter ones that open a word."""
+    """(lang, gram, n) summed over all documents: full-order n-grams, and shorter ones that open a text."""
     def run(batches):
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         waiting = 0
@@ -89,24 +88,19 @@ def raw_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             langs = np.array(batch.column(1).fill_null(NONE).to_pylist(), object)
-            for lo, hi, data, offs in text_slices(batch.column(0), 8 << 20):
+            for lo, hi, data, offs in text_slices(batch.column(0)):
                 start, end, doc = word_spans(data, offs)
                 if len(start) == 0:
                     continue
-                hashes = SpanHasher(data)(start, end)
                 names, code = np.unique(langs[lo:hi].astype(str), return_inverse=True)
                 of = code[doc]
                 for c, name in enumerate(names):
                     mine = np.flatnonzero(of == c)
                     if len(mine) == 0:
                         continue
-                    _, first, times = np.unique(hashes[mine], return_index=True, return_counts=True)
-                    one = mine[first]
-                    framed, word_bounds = _framed(*gather_spans(data, start[one], end[one]))
-                    keys, place = _keys(framed, word_bounds)
-                    weight = np.repeat(times, np.diff(word_bounds))
-                    scored = place > 0                       # the opening mark is given
-                    held.setdefault(str(name), []).append(_counted(keys[scored], weight[scored]))
+                    framed, text_bounds, _ = _framed(data, start[mine], end[mine], doc[mine])
+                    keys, place = _keys(framed, text_bounds)
+                    held.setdefault(str(name), []).append(np.unique(keys[place > 0], return_counts=True))  # the mark is given
                     waiting += len(held[str(name)][-1][0])
             if waiting > 4_000_000:
                 yield from flush()
@@ -122,7 +116,7 @@ def _size(gram: str) -> F.Column:
 
 
 def adjusted_counts(raw: DataFrame, ws: Workspace) -> DataFrame:
-    """(lang, gram, n) of every order: raw counts at full order and for n-grams that open a word, else the number of
+    """(lang, gram, n) of every order: raw counts at full order and for n-grams that open a text, else the number of
     different bytes before the n-gram."""
     table = raw.where(_size("gram") == ORDER)
     every = table
@@ -138,7 +132,7 @@ def adjusted_counts(raw: DataFrame, ws: Workspace) -> DataFrame:
 
 def model_table(adjusted: DataFrame, ws: Workspace) -> DataFrame:
     """(lang, gram, logp): interpolated log probability of the n-grams that score a position: full ones, and shorter ones that
-    open a word."""
+    open a text."""
     grams = ws.table(adjusted.withColumn("size", _size("gram").cast("int")).withColumn(
         "context", F.shiftright(F.col("gram").bitwiseAND((1 << 40) - 1), 8)), "grams")
     times = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
@@ -187,18 +181,16 @@ class Model:
             order = mine[np.argsort(gram[mine])]
             self.tables[name] = gram[order], logp[order]
 
-    def words(self, lang: str, data: np.ndarray, word_bounds: np.ndarray) -> np.ndarray:
-        """(words, 2): minus log probability of each word's bytes and end as far as the table has them, and how many they are."""
-        framed, word_bounds = _framed(data, word_bounds)
-        keys, place = _keys(framed, word_bounds)
-        m = len(word_bounds) - 1
-        nll = np.zeros(m)
+    def texts(self, lang: str, framed: np.ndarray, text_bounds: np.ndarray) -> np.ndarray:
+        """Minus log probability of each text's bytes as far as the table has them."""
+        m = len(text_bounds) - 1
         grams, logp = self.tables.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.float32)))
-        if len(grams):
-            at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
-            value = np.where((grams[at] == keys) & (place > 0), logp[at], 0)
-            nll = -np.bincount(np.repeat(np.arange(m), np.diff(word_bounds)), value, m)
-        return np.stack((nll, np.diff(word_bounds) - 1.0), 1)
+        if len(grams) == 0:
+            return np.zeros(m)
+        keys, place = _keys(framed, text_bounds)
+        at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
+        value = np.where((grams[at] == keys) & (place > 0), logp[at], 0)
+        return -np.bincount(np.repeat(np.arange(m), np.diff(text_bounds)), value, m)
 
 
 def _base(data: np.ndarray, offs: np.ndarray, start, end, doc, hashes) -> list[np.ndarray]:
@@ -249,8 +241,6 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)      # at most PART n-grams
 
     def run(batches):
-        current = ["-"]
-        values = WordValues(lambda d, b: shipped.value.words(current[0], d, b), 2)
         for batch in batches:
             langs = np.array(batch.column(2).fill_null(NONE).to_pylist(), object)
             for lo, hi, data, offs in text_slices(batch.column(1)):
@@ -263,11 +253,9 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                 for c, name in enumerate(names):
                     mine = np.flatnonzero(of == c)
                     if len(mine):
-                        current[0] = str(name)
-                        salt = mix64(np.array([zlib.crc32(str(name).encode())], np.uint64))[0]
-                        v = values(data, start[mine], end[mine], hashes[mine] ^ salt)
-                        nll += np.bincount(doc[mine], v[:, 0], m)
-                        size += np.bincount(doc[mine], v[:, 1], m)
+                        framed, text_bounds, texts = _framed(data, start[mine], end[mine], doc[mine])
+                        nll[texts] = shipped.value.texts(str(name), framed, text_bounds)
+                        size[texts] = np.diff(text_bounds) - 1
                 base = _base(data, offs, start, end, doc, hashes)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, m), batch.column(2).slice(lo, m), *(pa.array(b, pa.int64()) for b in base),
@@ -279,7 +267,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def measured(docs: DataFrame, table: DataFrame, ws: Workspace, part: int = PART) -> DataFrame:
-    """(doc_id, lang, base features, nll) of every document; nll is the mean minus log probability per byte of its words.
+    """(doc_id, lang, base features, nll) of every document; nll is the mean minus log probability per byte of its text.
     ``table`` is the n-gram table; a pass over the documents holds about ``part`` n-grams of it."""
     parts = max(1, -(-table.count() // part))
     dealt = F.pmod(F.xxhash64("lang", "gram"), F.lit(parts))
@@ -317,8 +305,8 @@ def judged(docs: DataFrame, cfg: BandConfig = BandConfig()) -> DataFrame:
     q = (rows.where(~F.col("base_failed")).groupBy(group)
          .agg(F.percentile_approx("nll", [0.25, 0.5, 0.75], 10000).alias("q")))
     bands = q.select(F.col("group"),
-                     (F.col("q")[1] - F.greatest(F.lit(cfg.low_slack), cfg.reach * (F.col("q")[1] - F.col("q")[0]))).alias("low"),
-                     (F.col("q")[1] + F.greatest(F.lit(cfg.high_slack), cfg.reach * (F.col("q")[2] - F.col("q")[1]))).alias("high"))
+                     (F.col("q")[1] - cfg.reach * (F.col("q")[1] - F.col("q")[0])).alias("low"),
+                     (F.col("q")[1] + cfg.reach * (F.col("q")[2] - F.col("q")[1])).alias("high"))
     return (rows.withColumn("group", group).join(F.broadcast(bands), "group", "left")     # one row per language
             .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("nll").between(F.col("low"), F.col("high")), F.lit(False)))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",

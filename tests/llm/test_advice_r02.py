@@ -54,3 +54,22 @@ def test_every_ngram_keeps_its_own_probability(llm_spark):
     whole = {r.doc_id: r.nll for r in perplexity.measured(docs, table, ws).collect()}
     parts = {r.doc_id: r.nll for r in perplexity.measured(docs, table, ws, part=4000).collect()}
     assert len(whole) == 60 and all(abs(whole[i] - parts[i]) < 1e-5 for i in whole)
+
+
+def test_order_of_words_and_garbled_words_count(llm_spark):
+    rng = np.random.default_rng(12)
+    heads, tails = ["ka", "lo", "mi", "ru", "te", "vo"], ["nard", "best", "pilk", "gond", "sump", "hirt"]
+    after = {t: rng.permutation(heads)[:2].tolist() for t in tails}          # a word's end decides how the next one begins
+
+    def prose():
+        words = ["kanard"]
+        for _ in range(119):
+            words.append(str(rng.choice(after[words[-1][2:]])) + str(rng.choice(tails)))
+        return words
+
+    rows = [(i, " ".join(prose()), "en") for i in range(150)]
+    rows += [(1000 + i, " ".join(rng.permutation(prose())), "en") for i in range(4)]
+    rows += [(2000 + i, " ".join(w if rng.random() > 0.2 else "".join(map(chr, rng.integers(97, 123, 6))) for w in prose()), "en") for i in range(4)]
+    kept = {r.doc_id: r.kept for r in perplexity.judged(llm_spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(kept[i] for i in range(150)) >= 147
+    assert not any(v for i, v in kept.items() if i >= 1000)
