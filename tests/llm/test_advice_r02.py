@@ -5,9 +5,12 @@ import math
 
 import numpy as np
 
-from flowwatch.llm import perplexity
+import corpus_pipeline
+from flowwatch.llm import linededup, perplexity
 from flowwatch.llm.workspace import Workspace
 
+from .test_units import _components, _edits
+
 
 def _plain_model(raw):
     """Interpolated modified Kneser-Ney over {n-gram bytes: times}, one language, by dictionaries."""
@@ -73,3 +76,26 @@ def test_order_of_words_and_garbled_words_count(llm_spark):
     kept = {r.doc_id: r.kept for r in perplexity.judged(llm_spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert sum(kept[i] for i in range(150)) >= 147
     assert not any(v for i, v in kept.items() if i >= 1000)
+
+
+def test_short_lines_equal_brute_force(llm_spark):
+    rng = np.random.default_rng(13)
+    short = ["ab", "ba", "xyz", "Of, edti oner.", "of, edti one", "----------", "see page 17", "a line of twenty-three", "é à"]
+    texts = []
+    for i in range(40):
+        own = "".join(map(chr, rng.integers(97, 123, 18)))
+        texts.append("\n".join([own, "", *(str(x) for x in rng.choice(short, 5)), " ", own[:-1] + "Z"]))
+    docs = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    places = [(i, n, x.strip().encode()) for i, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if x.strip()]
+    lines = sorted({x for _, _, x in places})
+    near = [(i, j) for i in range(len(lines)) for j in range(i)
+            if min(len(lines[i]), len(lines[j])) > 2 and abs(len(lines[i]) - len(lines[j])) <= 2 and _edits(lines[i], lines[j]) <= 2]
+    root = dict(zip(lines, _components(len(lines), near)))
+    gone, seen = collections.defaultdict(set), set()
+    for i, n, x in places:
+        if root[x] in seen:
+            gone[i].add(n)
+        seen.add(root[x])
+    want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in linededup.deduplicated(docs).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(llm_spark, docs, "").collect()} == {i: t for i, t in want.items() if t.strip()}
