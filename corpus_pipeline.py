@@ -25,9 +25,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: one document of each group stays."""
+    """Operator 6: one document of each group stays; near copies reach a Jaccard of 0.8 on shingles of five words."""
     ship_code(spark)
-    return ngramjoin.keep_one(docs)
+    return ngramjoin.keep_one(docs, ngramjoin.JoinConfig(width=5, percent=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,3 +99,23 @@ def test_short_lines_equal_brute_force(llm_spark):
     want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in enumerate(texts)}
     assert {r.doc_id: r.text for r in linededup.deduplicated(docs).collect()} == want
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(llm_spark, docs, "").collect()} == {i: t for i, t in want.items() if t.strip()}
+
+
+def test_pipeline_document_dedup_equals_brute_force(llm_spark):
+    rng = np.random.default_rng(14)
+    texts = []
+    for i in range(25):
+        words = [f"w{i}x{k}" for k in range(int(rng.integers(40, 90)))]
+        texts.append(words)
+        for _ in range(3):
+            other = list(words)
+            for at in rng.choice(len(words), int(rng.integers(1, 3)), replace=False):
+                other[at] = f"new{rng.integers(1 << 30)}"
+            texts.append(other[:len(other) - int(rng.integers(0, 4))])
+    sets = [{tuple(t[k:k + 5]) for k in range(len(t) - 4)} for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    other = [(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) < 82 * len(sets[i] | sets[j])]
+    assert other
+    docs = llm_spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.ngram_dedup(llm_spark, docs, "").collect()}
+    assert kept == set(_components(len(sets), pairs))
