@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hashforest, langid, linededup, mixing, ngramjoin, perplexity, quality, sentencepieces, tokenstore, toxicity
+from . import (centroids, hashforest, langid, linededup, mixing, ngramjoin, perplexity, quality, repair, sentencepieces, tokenstore,
+               toxicity, urlfilter)
 from .workspace import Workspace, ship_code
 
 
@@ -77,6 +78,24 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashforest.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return repair.repair_all(rows, repair.damaged(rows))
+
+
+#: The contract's rules.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judged(_table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -88,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_centroids": op11_centroids,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_url_filter": op13_url_filter,
 }
 
 
