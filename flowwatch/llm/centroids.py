@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
@@ -199,8 +199,8 @@ def with_inertia(assigned: DataFrame, centroids: np.ndarray) -> DataFrame:
     digest = [(c, hashlib.sha256(",".join(map(str, row)).encode()).hexdigest()) for c, row in enumerate(centroids.tolist())]
     names = assigned.sparkSession.createDataFrame(digest, "cluster int, centroid_sha256 string")
     each = assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("part"))
-    whole = each.agg(F.sum("part").cast("long").alias("inertia"))
-    per = each.join(F.broadcast(names), "cluster").join(F.broadcast(whole)).select(
-        "cluster", F.col("part").cast("long").alias("cluster_inertia"), "inertia", "centroid_sha256")
+    per = each.join(F.broadcast(names), "cluster").select(            # one row per centroid
+        "cluster", F.col("part").cast("long").alias("cluster_inertia"),
+        F.sum("part").over(Window.partitionBy()).cast("long").alias("inertia"), "centroid_sha256")
     return assigned.join(F.broadcast(per), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quality import fold
+from .quality import fold, sample_windows
 from .textkit import text_slices
 from .toxicity import LOWER
 
@@ -36,7 +36,7 @@ class LangConfig:
     batch: int = 64
     rate: float = 0.01
     sample_per_lang: int = 300       # bounded training sample of labelled rows, per language
-    sample_windows: int = 8          # of a training text; prediction always reads whole texts
+    sample_windows: int = 8          # of a training text, spread over all of it; prediction always reads whole texts
     seed: int = 5
 
 
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, cfg: LangConfig = LangConfig(), folds: int = 3, held: i
     rows = (docs.select("doc_id", "text", "lang")
             .where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
             .where(fold(F.col("doc_id"), folds) != held)
-            .withColumn("text", F.substring("text", 1, cfg.window * cfg.sample_windows))
+            .withColumn("text", sample_windows(F.col("text"), F.col("doc_id"), cfg.sample_windows, cfg.window))
             .withColumn("nth", F.row_number().over(by_lang)).where(F.col("nth") <= cfg.sample_per_lang)
             .orderBy("lang", "nth").select("lang", "text").toArrow())
     names = rows["lang"].to_pylist()
@@ -150,8 +150,7 @@ def fit(docs: DataFrame, cfg: LangConfig = LangConfig(), folds: int = 3, held: i
     of = np.array([langs.index(n) for n in names])
     for lo, hi, data, offs in text_slices(rows["text"]):
         x, text, size = windows(data, offs, cfg.window)
-        nth = np.arange(len(text)) - np.searchsorted(text, text)
-        keep = (size >= 16) & (nth < cfg.sample_windows)
+        keep = size >= 16
         xs.append(x[keep])
         ys.append(of[lo:hi][text[keep]])
     net = Network(langs, cfg)
@@ -199,6 +198,7 @@ class Predictor:
 def predict(docs: DataFrame, net: Network | None, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its probability added."""
     shipped = docs.sparkSession.sparkContext.broadcast(net)        # fixed size: the network's weights
+    docs = docs.drop(lang, score)                                  # columns of these names give way
     schema = docs.withColumn(lang, F.lit("")).withColumn(score, F.lit(0.0)).schema
 
     def run(batches):

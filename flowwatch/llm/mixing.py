@@ -1,9 +1,11 @@
 """Operator 4: mix sources to target weights with a low-discrepancy source schedule (DataFrame functions only).
 
-The mix is a line of about equal-token slots.  Slot i sits at the golden-ratio point frac(i * phi), which the
+The mix is a line of slots, whose number grows with the corpus.  Slot i sits at the golden-ratio point frac(i * phi), which the
 cumulative target shares map to a source, so every stretch of the schedule already holds the target
 mix.  A source's slots are ranked in schedule order; its documents, shuffled by a hash of their id, are cut into
-equal-token blocks, and the slot of rank r takes block r mod (number of blocks).
+equal-token blocks (of about a slot's words, smaller in a small source, which has more slots for it), and the
+slot of rank r takes block r mod (number of blocks).  Ranks and positions are two-level prefix sums, so
+a source that holds a third of all words is not ranked in one task.
 
 Defined results: null text has size 0; documents of size 0 are returned with taken 0; a null source is a
 source of its own, ordered last; repeated rows (also of one doc_id) each take part as rows of their own; an empty
@@ -20,8 +22,12 @@ from .workspace import Workspace
 #: Fixed values of the schedule: the odd integer nearest to 2^32 / golden ratio, and 2^32.
 GOLDEN_STEP, GOLDEN_RANGE = 2654435769, 1 << 32
 MAX_REPEATS = 3
-#: Slots of a mix, whatever the corpus holds: the schedule's tables stay this small at any size.
-SLOTS = 1 << 16
+#: A mix has at least so many slots, and a slot at most so many words.
+SLOTS, SLOT_WORDS = 1 << 16, 1 << 16
+#: Blocks of a source at least (or one per word), so that a small source among large ones comes near its target too.
+LEAST_BLOCKS = 1 << 10
+#: Slots and blocks that one task ranks or adds up.
+PAGE = 4096
 #: Points and lanes meet in so many equal stretches of the unit interval.
 STRETCHES = 4096
 
@@ -61,9 +67,10 @@ def lanes(goal: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Sources with words -> + blocks (equal-token blocks of the source), wanted slots, and the stretch
     [low, high) of the schedule's line that is theirs; ``every`` is the line's length."""
     up_to = Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slot_words = F.greatest(F.lit(1.0), F.col("total") / slots)
+    slot_words = F.greatest(F.lit(1.0), F.least(F.lit(float(SLOT_WORDS)), F.col("total") / slots))
+    least = F.least(F.col("source_size"), F.lit(LEAST_BLOCKS))
     return (goal.where("source_size > 0")
-            .withColumn("blocks", F.greatest(F.lit(1.0), F.round(F.col("source_size") / slot_words)).cast("long"))
+            .withColumn("blocks", F.greatest(least, F.round(F.col("source_size") / slot_words)).cast("long"))
             .withColumn("wanted", F.col("target") * F.col("blocks") / F.col("source_size"))
             .withColumn("high", F.sum("wanted").over(up_to))
             .withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("lane")), F.lit(0.0)))
@@ -78,16 +85,19 @@ def schedule(lane_table: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame
     """
     spread = lane_table.agg(F.ceil(F.max("every")).cast("long").alias("n"), F.max("every").alias("every"))
     points = (spread.where("n > 0")
-              .select("every", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 4096))).alias("page"))
-              .select("every", F.explode(F.sequence(F.col("page") * 4096,
-                                                    F.least(F.col("page") * 4096 + 4095, F.col("n") - 1))).alias("slot"))
+              .select("every", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PAGE))).alias("page"))
+              .select("every", F.explode(F.sequence(F.col("page") * PAGE,
+                                                    F.least(F.col("page") * PAGE + PAGE - 1, F.col("n") - 1))).alias("slot"))
               .withColumn("x", (F.col("slot") * GOLDEN_STEP % GOLDEN_RANGE).cast("double") / float(GOLDEN_RANGE) * F.col("every"))
               .withColumn("stretch", F.floor(F.col("x") / F.col("every") * STRETCHES)))
     spans = lane_table.select("lane", "blocks", "low", "high", F.explode(F.sequence(
         F.floor(F.col("low") / F.col("every") * STRETCHES),
         F.floor(F.col("high") / F.col("every") * STRETCHES))).alias("stretch"))
-    placed = points.join(spans, "stretch").where("x >= low and x < high")
-    return (placed.withColumn("rank", F.row_number().over(Window.partitionBy("lane").orderBy("slot")) - 1)
+    placed = (points.join(spans, "stretch").where("x >= low and x < high")
+              .select("slot", "lane", "blocks", F.floor(F.col("slot") / PAGE).alias("page")))
+    pages = placed.groupBy("lane", "page").agg(F.count("*").alias("held")).withColumn("first", _before("held", "page"))
+    return (placed.join(pages.select("lane", "page", "first"), ["lane", "page"])
+            .withColumn("rank", F.col("first") + F.row_number().over(Window.partitionBy("lane", "page").orderBy("slot")) - 1)
             .where(F.col("rank") < F.col("blocks") * max_repeats)
             .select("slot", "lane", "rank", (F.col("rank") % F.col("blocks")).alias("block")))
 
@@ -101,9 +111,17 @@ def _block_line(lane_table: DataFrame, plan: DataFrame) -> DataFrame:
               .withColumn("times", F.coalesce("times", F.lit(0)))
               .withColumn("begin", _block_begin("block"))
               .withColumn("words", _block_begin("block + 1") - F.col("begin")))
-    back = Window.partitionBy("lane").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumn("before", F.coalesce(F.sum(F.col("words") * F.col("times")).over(back), F.lit(0))).select(
-        "lane", "block", "begin", "times", "before")
+    blocks = blocks.withColumn("page", F.floor(F.col("block") / PAGE)).withColumn("held", F.col("words") * F.col("times"))
+    pages = blocks.groupBy("lane", "page").agg(F.sum("held").alias("held")).withColumn("first", _before("held", "page"))
+    return (blocks.join(pages.select("lane", "page", "first"), ["lane", "page"])
+            .withColumn("before", F.col("first") + _before("held", "block", "page"))
+            .select("lane", "block", "begin", "times", "before"))
+
+
+def _before(value: str, order: str, *inside: str) -> F.Column:
+    """Sum of ``value`` over the rows of the lane (and of ``inside``) that come before this one."""
+    back = Window.partitionBy("lane", *inside).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(back), F.lit(0))
 
 
 def _block_begin(block: str) -> F.Column:
@@ -154,8 +172,8 @@ def mix(docs: DataFrame, max_repeats: int = MAX_REPEATS, slots: int = SLOTS) ->
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix: every row as often as the mix takes it, all columns of ``docs``.
 
-    A document stands round(taken / size) times: blocks hold many documents, so most are taken whole or not at all,
-    and rounding the few that a block border cuts keeps each source near its target.  Documents without words stay once.
+    A document stands round(taken / size) times: a source's blocks are taken in rounds, in order, so its documents
+    differ at one place of its line only, and rounding the document there keeps the source near its target.  Documents without words stay once.
     """
     mark = "mix_row_key"
     while mark in docs.columns:

@@ -10,8 +10,12 @@ Each family's sets are joined by a trie over the globally ordered sets: sorted s
 overlap of their path with every other set, so common prefixes are counted once; subtrees in which no set can
 reach the similarity with what remains, or that are linked already, are skipped.  Links are kept as a spanning forest.
 
-Defined results: null and empty texts have empty sets and stay alone; equal sets are one class, joined once; rows that
-share a doc_id are one document; a null doc_id takes no part and has a null component; an empty table gives no rows.
+Equal sets (by a 128-bit digest) are one node, joined once, whatever their rows' ids.
+
+Defined results: null and empty texts have empty sets and stay alone; rows that share a doc_id but not the text are documents
+of their own, each in the group of its own text, under the smallest doc_id there; a null doc_id takes no part and has a null
+component; very long texts are taken whole; columns but doc_id and text are left out by ``grouped`` and kept by ``keep_one``,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from .workspace import Workspace
 _ORDER_BITS = 22               # slots of the table of frequency classes
 _COUNTED = 6                   # bytes of a hash that are counted for the order
 _RANGES = 128                  # ranges of the hash space in the overlap bound
+SET = ["d1", "d2", "n"]        # what names a set
 
 
 @dataclass(frozen=True)
@@ -59,12 +64,19 @@ def frequency_classes(docs: DataFrame, cfg: JoinConfig) -> np.ndarray:
         held, waiting = [], 0
 
         def flush():
-            every = np.sort(np.concatenate(held))
-            cut = np.searchsorted(every >> shift, np.arange(buckets + 1).astype(np.uint64))
-            raw = every.view(np.uint8).reshape(-1, 8)[:, 8 - _COUNTED:]
-            rows = [(b, raw[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x]
+            every, times = np.unique(np.concatenate(held), return_counts=True)       # a frequent n-gram travels once a task
+            often = np.flatnonzero(times > 1)
+            parts = []
+            for one in (every, every[often]):
+                cut = np.searchsorted(one >> shift, np.arange(buckets + 1).astype(np.uint64)).tolist()
+                parts.append((one.view(np.uint8).reshape(-1, 8)[:, 8 - _COUNTED:], cut))
+            (raw, cut), (more, more_cut) = parts
+            extra = (times[often] - 1).astype("<u4")
+            rows = [(b, raw[x:y].tobytes(), more[u:v].tobytes(), extra[u:v].tobytes()) for b, (x, y, u, v)
+                    in enumerate(zip(cut[:-1], cut[1:], more_cut[:-1], more_cut[1:])) if y > x]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
-                                               pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "hashes"])
+                                               *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))],
+                                              names=["bucket", "hashes", "more", "extra"])
 
         for batch in batches:
             for one in sets_of(batch.column(0), cfg.width):
@@ -76,22 +88,25 @@ def frequency_classes(docs: DataFrame, cfg: JoinConfig) -> np.ndarray:
         if waiting:
             yield flush()
 
-    def classes(key, table):
-        raw = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint8).reshape(-1, _COUNTED)
+    def widened(column) -> np.ndarray:
+        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _COUNTED)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, 8 - _COUNTED:] = raw
-        every = np.sort(wide.view(np.uint64).ravel())
-        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-        times = np.diff(np.append(first, len(every)))
+        return wide.view(np.uint64).ravel()
+
+    def classes(key, table):
+        every, times = np.unique(widened(table["hashes"]), return_counts=True)
+        extra = np.frombuffer(b"".join(table["extra"].to_pylist()), "<u4").astype(np.int64)
+        np.add.at(times, np.searchsorted(every, widened(table["more"])), extra)
         often = np.flatnonzero(times >= 16)
         per = (1 << _ORDER_BITS) // buckets
         base = key[0].as_py() * per
         out = np.zeros(per, np.uint8)
-        slot = (every[first[often]] >> U64(64 - _ORDER_BITS)).astype(np.int64) - base
+        slot = (every[often] >> U64(64 - _ORDER_BITS)).astype(np.int64) - base
         np.maximum.at(out, slot, np.log2(times[often]).astype(np.uint8) - 3)
         return pa.table({"at": pa.array([base], pa.int64()), "bytes": pa.array([out.tobytes()], pa.binary())})
 
-    counted = docs.select("text").mapInArrow(count, "bucket int, hashes binary")
+    counted = docs.select("text").mapInArrow(count, "bucket int, hashes binary, more binary, extra binary")
     return families.fixed_table(counted.groupBy("bucket").applyInArrow(classes, "at long, bytes binary"), 1 << _ORDER_BITS)
 
 
@@ -100,6 +115,13 @@ def least_overlap(a, b, percent: int):
     return -((-percent * (a + b)) // (100 + percent))
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    if len(s) == 0:
+        return 0, 0
+    return int(mix64(s).sum().astype(np.int64)), int(mix64(s ^ U64(0xA5A5A5A55A5A5A5A)).sum().astype(np.int64))
+
+
 def described(docs: DataFrame, classes: np.ndarray, cfg: JoinConfig) -> DataFrame:
     """(doc_id, n, d1, d2, ranges, prefix): set size, 128-bit digest, n-grams per hash range, and the first n-grams of the
     global order among which any similar set has one too."""
@@ -111,8 +133,9 @@ def described(docs: DataFrame, classes: np.ndarray, cfg: JoinConfig) -> DataFram
             n, d1, d2, ranges, prefix = [], [], [], [], []
             for s in sets_of(batch.column(1), cfg.width):
                 n.append(len(s))
-                d1.append(int(mix64(s).sum().astype(np.int64)) if len(s) else 0)
-                d2.append(int(mix64(s ^ U64(0xA5A5A5A55A5A5A5A)).sum().astype(np.int64)) if len(s) else 0)
+                digest = _digest(s)
+                d1.append(digest[0])
+                d2.append(digest[1])
                 count = np.bincount((s >> U64(57)).astype(np.int64), minlength=_RANGES)
                 ranges.append(np.minimum(count, 65535).astype("<u2").tobytes())
                 keep = len(s) - (cfg.percent * len(s) + 99) // 100 + 1 if len(s) else 0
@@ -250,30 +273,35 @@ def grouped(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
     ws = Workspace(docs.sparkSession, "ngramjoin")
     every = ws.table(described(docs, frequency_classes(docs, cfg), cfg), "sets")
     known = every.where("n > 0 and doc_id is not null")
-    classes = ws.table(known.groupBy("d1", "d2", "n").agg(
-        F.min("doc_id").alias("node"), F.first("ranges").alias("ranges"), F.first("prefix").alias("prefix")), "classes")
+    classes = ws.table(known.groupBy(*SET).agg(                # numbered where they are written, once
+        F.min("doc_id").alias("least"), F.first("ranges").alias("ranges"), F.first("prefix").alias("prefix"))
+        .withColumn("node", F.monotonically_increasing_id()), "classes")
     candidates = ws.table(_candidate_edges(classes, cfg, ws), "edges")
-    weights = classes.groupBy("node").agg(F.sum("n").alias("weight"))
-    dealt = ws.table(families.blocks(candidates, weights, ws, cfg.block_weight), "blocks")
-    nodes = ws.table(dealt.select("node").distinct(), "nodes")
+    dealt = families.blocks(candidates, classes.select("node", F.col("n").alias("weight")), ws, cfg.block_weight)
+    dealt = ws.table(dealt.join(classes.select("node", "least", *SET), "node"), "blocks")
 
     def shingled(batches):
         for batch in batches:
-            raw = [s.tobytes() for s in sets_of(batch.column(1), cfg.width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["node", "content"])
+            sets = [s for s in sets_of(batch.column(0), cfg.width) if len(s)]
+            digests = [_digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
+                 pa.array(list(map(len, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*SET, "content"])
 
-    wanted = (docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-              .mapInArrow(shingled, "node long, content binary").where(F.length("content") > 0))
+    holders = dealt.select(F.col("least").alias("holder")).distinct()           # a document that has the set
+    wanted = (docs.select(F.col("doc_id").cast("long").alias("holder"), "text").join(holders, "holder", "left_semi")
+              .select("text").mapInArrow(shingled, "d1 long, d2 long, n long, content binary"))
 
     def join(members: list[int], contents: list[bytes]) -> list[tuple[int, int]]:
         found = tree_links([np.frombuffer(c, np.uint64) for c in contents], cfg.percent)
         return [(members[x], members[y]) for x, y in found]
 
-    links = families.in_blocks(dealt.join(wanted, "node"), join)
+    links = families.in_blocks(dealt.join(wanted, SET).select("family", "block", "other", "node", "content"), join)
     roots = ws.table(components(links, ws), "roots")
-    named = classes.select("d1", "d2", "n", "node").join(roots, "node", "left").select(
-        "d1", "d2", "n", F.coalesce("root", "node").alias("component"))
-    return (every.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    rooted = ws.table(classes.join(roots, "node", "left").select(*SET, "least", F.coalesce("root", "node").alias("root")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = rooted.join(first, "root").select(*SET, "component")
+    return (every.select("doc_id", *SET).join(named, SET, "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
 

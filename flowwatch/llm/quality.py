@@ -34,10 +34,15 @@ class QualityConfig:
     updates: int = 8000              # documents visited by gradient descent, half of them of either class
     rate: float = 0.6
     sample_per_class: int = 800      # bounded training sample of labelled rows, per class
-    sample_bytes: int = 1 << 14      # of a training text; scoring always reads whole texts
+    windows: int = 8                 # of a training text, spread over all of it; scoring always reads whole texts
+    window_chars: int = 2048
     seed: int = 7
 
 
+#: Bytes of training texts whose n-grams are in memory at once: a slice takes some hundred times its size.
+_TRAIN_SLICE = 1 << 17
+
+
 def fold(doc_id, modulus: int) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
@@ -59,7 +64,7 @@ def _ngram_buckets(data: np.ndarray, word_bounds: np.ndarray, cfg: QualityConfig
     room = np.repeat(framed_bounds[1:], size) - np.arange(len(framed))
     for k in cfg.ngrams:
         at = np.flatnonzero(room >= k)
-        found.append(hasher(at, at + k))
+        found.append(hasher.rolling(at, at + k))
         owner.append(word_of[at])
     return (np.concatenate(found) >> U64(64 - cfg.buckets_bits)).astype(np.int64), np.concatenate(owner)
 
@@ -76,10 +81,10 @@ def _pair_buckets(hashes: np.ndarray, doc: np.ndarray, cfg: QualityConfig) -> tu
 def _features(texts: pa.Array, cfg: QualityConfig) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text its distinct buckets and the share of each."""
     out = []
-    for lo, hi, data, offs in text_slices(texts):
+    for lo, hi, data, offs in text_slices(texts, _TRAIN_SLICE):
         start, end, doc = word_spans(data, offs)
         if len(start) == 0:
-            out += [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * (hi - lo)
+            out += [(np.zeros(0, np.int32), np.zeros(0, np.float32))] * (hi - lo)
             continue
         hashes = SpanHasher(data)(start, end)
         size = end - start
@@ -93,7 +98,7 @@ def _features(texts: pa.Array, cfg: QualityConfig) -> list[tuple[np.ndarray, np.
         cut = np.searchsorted(of, np.arange(hi - lo + 1))
         for a, b in zip(cut[:-1], cut[1:]):
             share = count[a:b] / max(1, count[a:b].sum())
-            out.append((distinct[a:b] & ((1 << cfg.buckets_bits) - 1), share.astype(np.float32)))
+            out.append(((distinct[a:b] & ((1 << cfg.buckets_bits) - 1)).astype(np.int32), share.astype(np.float32)))
     return out
 
 
@@ -137,10 +142,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, held_out, per
             .groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label").orderBy("id"))
 
 
+def sample_windows(text, draw, count: int, size: int) -> F.Column:
+    """A text of bounded length to learn from: one up to count * size characters as it is, of a longer one ``count`` windows
+    of ``size`` characters, one in each of ``count`` even stretches at a place drawn by hash."""
+    text = F.coalesce(text, F.lit(""))
+    stretch = (F.length(text) / count).cast("long")
+
+    def window(i):
+        place = i * stretch + F.pmod(F.xxhash64(draw, i), stretch - size + 1)
+        return F.substring(text, place.cast("int") + 1, F.lit(size))
+
+    cut = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), window), " ")
+    return F.when(F.length(text) <= count * size, text).otherwise(cut)
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", cfg: QualityConfig = QualityConfig(),
         folds: int = 5):
     rows = training_rows(docs, labels, target, lambda c: fold(c, folds) == 0, cfg.sample_per_class).select(
-        F.substring(F.coalesce("text", F.lit("")), 1, cfg.sample_bytes).alias("text"), "label").toArrow()
+        sample_windows(F.col("text"), F.col("id"), cfg.windows, cfg.window_chars).alias("text"), "label").toArrow()
     return train(rows["text"].to_pylist(), rows["label"].to_pylist(), cfg)
 
 
@@ -177,6 +196,7 @@ class Scorer:
 def score(docs: DataFrame, model, cfg: QualityConfig = QualityConfig(), text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a score column (probability of class 1) added."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)      # fixed size: one float per bucket
+    docs = docs.drop(out)                                          # a column of that name gives way
     schema = docs.withColumn(out, F.lit(0.0)).schema
 
     def run(batches):

@@ -169,6 +169,7 @@ def decode_ids(ids: np.ndarray, sizes: np.ndarray, path: str) -> tuple[np.ndarra
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with an array of ids per text added."""
+    docs = docs.drop(out)                                      # a column of that name gives way
     schema = docs.withColumn(out, F.array().cast("array<int>")).schema
 
     def run(batches):
@@ -183,6 +184,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """``docs`` with the text of an array of ids added; a null array is the empty text."""
+    docs = docs.drop(out)
     schema = docs.withColumn(out, F.lit("")).schema
 
     def run(batches):

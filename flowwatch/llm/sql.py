@@ -20,7 +20,8 @@ levels AS (
   FROM weighed WINDOW fill AS (ORDER BY cap / weight, lane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goal AS (SELECT * EXCLUDE (level), least(cap, max(level) OVER () * weight) AS target FROM levels),
 blocked AS (
-  SELECT *, greatest(1.0, round(source_size / greatest(1.0, total / {mixing.SLOTS})))::BIGINT AS blocks
+  SELECT *, greatest(least(source_size, {mixing.LEAST_BLOCKS}),
+                     round(source_size / greatest(1.0, least({float(mixing.SLOT_WORDS)}, total / {mixing.SLOTS}))))::BIGINT AS blocks
   FROM goal WHERE source_size > 0),
 wanted AS (SELECT *, target * blocks / source_size AS wanted FROM blocked),
 highs AS (SELECT *, sum(wanted) OVER (ORDER BY lane ROWS UNBOUNDED PRECEDING) AS high, sum(wanted) OVER () AS every FROM wanted),

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -17,10 +18,14 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_CODES, _OTHER_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * U64(2) + U64(1)
 _FOLDED = _CODES.copy()
 _FOLDED[ord("A"):ord("Z") + 1] = _CODES[ord("a"):ord("z") + 1]
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"):ord("Z") + 1] += 32
+#: Bytes of a span above which ``SpanHasher`` hashes it as a whole.
+LONG = 64
 
 
 def _power_table(kind: str, n: int) -> np.ndarray:
@@ -43,18 +48,80 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _codes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A number per byte, or per code point of a uint32 buffer; ASCII has the same ones in both."""
+    if data.dtype == np.uint8:
+        return table[data]
+    out = table[np.minimum(data, 127)]
+    wide = data > 127
+    out[wide] = mix64(data[wide].astype(np.uint64) * table[128]) | U64(1)
+    return out
+
+
+def code_points(data: np.ndarray, *spans: np.ndarray) -> list[np.ndarray]:
+    """The code points of UTF-8 bytes, and the byte positions ``spans`` among them; bytes that are no UTF-8 stand for themselves."""
+    lead = (data & 0xC0) != 0x80
+    if lead.all():
+        return [data, *spans]
+    try:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:
+        return [data, *spans]
+    before = np.concatenate(([0], np.cumsum(lead)))
+    return [points, *(before[s] for s in spans)]
+
+
+def _prefix(codes: np.ndarray) -> np.ndarray:
+    codes *= _power_table("up", len(codes))
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes, out=out[1:])
+    return out
+
+
+def _between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix64((prefix[end] - prefix[start]) * _power_table("down", len(prefix))[start])
+
+
 class SpanHasher:
-    """Hashes of arbitrary byte spans of one buffer in constant time per span (prefix polynomial)."""
+    """Hashes of spans of one buffer of bytes (``rolling`` also of code points).
+
+    ``rolling`` is a prefix polynomial, constant time per span.  Modulo 2^64 a polynomial maps some long regular
+    strings (a Thue-Morse word and its complement, from about 1,000 bytes on) to one value whatever its base, so it only
+    serves where candidates are verified.  Calls, whose values stand for the bytes themselves, hash spans above ``LONG`` as a whole.
+    """
 
     def __init__(self, data: np.ndarray, fold_case: bool = False):
-        codes = (_FOLDED if fold_case else _CODES)[data]
-        codes *= _power_table("up", len(data))
-        self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(codes, out=self.prefix[1:])
+        self.data, self.fold_case = data, fold_case
+        codes = _codes(data, _FOLDED if fold_case else _CODES)
+        self.prefix = _prefix(codes)
+
+    def rolling(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _between(self.prefix, start, end)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        down = _power_table("down", len(self.prefix))
-        return mix64((self.prefix[end] - self.prefix[start]) * down[start])
+        found = self.rolling(start, end)
+        far, whole = self._whole(start, end)
+        found[far] = whole[:, 0]
+        return found
+
+    def pairs(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of every span and a second one that does not depend on it: 128 bits."""
+        first, second = self.rolling(start, end), _between(_prefix(_codes(self._folded(), _OTHER_CODES)), start, end)
+        far, whole = self._whole(start, end)
+        first[far], second[far] = whole[:, 0], whole[:, 1]
+        return first, second
+
+    def _folded(self) -> np.ndarray:
+        return _LOWER[self.data] if self.fold_case else self.data
+
+    def _whole(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The spans above LONG, and 128 bits of each."""
+        far = np.flatnonzero(end - start > LONG)
+        if len(far) == 0:
+            return far, np.zeros((0, 2), np.uint64)
+        raw = memoryview(np.ascontiguousarray(self._folded()))
+        digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start[far].tolist(), end[far].tolist())]
+        return far, np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import fold, training_rows
+from .quality import fold, sample_windows, training_rows
 from .textkit import U64, SpanHasher, bounds, text_slices, word_spans
 from .wordcache import WordValues
 
@@ -43,7 +43,8 @@ class ToxicityConfig:
     penalty: float = 1e-4
     negatives: int = 20000
     sample_per_class: int = 1500     # bounded training sample of labelled documents, per class
-    sample_bytes: int = 1 << 14      # of a training text; scoring always reads whole texts
+    windows: int = 8                 # of a training text, spread over all of it; scoring always reads whole texts
+    window_chars: int = 2048
     seed: int = 11
 
 
@@ -255,7 +256,7 @@ def _calibrate(high: np.ndarray, low: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig(), folds: int = 5):
     rows = training_rows(docs, labels, "toxic", lambda c: fold(c, folds) == 0, cfg.sample_per_class).select(
-        F.substring(F.coalesce("text", F.lit("")), 1, cfg.sample_bytes).alias("text"), "label").toArrow()
+        sample_windows(F.col("text"), F.col("id"), cfg.windows, cfg.window_chars).alias("text"), "label").toArrow()
     return train(rows["text"].to_pylist(), rows["label"].to_pylist(), cfg)
 
 
@@ -301,6 +302,7 @@ class Scorer:
 def score(docs: DataFrame, model, cfg: ToxicityConfig = ToxicityConfig(), text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a toxicity score column added."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)      # fixed size: one float per bucket
+    docs = docs.drop(out)                                          # a column of that name gives way
     schema = docs.withColumn(out, F.lit(0.0)).schema
 
     def run(batches):

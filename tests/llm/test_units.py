@@ -106,7 +106,7 @@ def test_edit_join_equals_brute_force():
     lines = sorted(set(lines))
     pairs = [(i, j) for i in range(len(lines)) for j in range(i)]
     near = [(i, j) for i, j in pairs if _edits(lines[i], lines[j]) <= 2]
-    assert linededup.within_edits([lines[i] for i, _ in pairs], [lines[j] for _, j in pairs], 2).tolist() == [p in set(near) for p in pairs]
+    assert linededup.within_edits(*([linededup._points(lines[p[k]]) for p in pairs] for k in (0, 1)), 2).tolist() == [p in set(near) for p in pairs]
     assert _components(len(lines), near) == _components(len(lines), linededup.edit_links(lines, 2))
     data = np.frombuffer(b"".join(lines), np.uint8)
     end = np.cumsum([len(x) for x in lines])
