@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowwatch.sources.intake import dead_letters
+
 OPEN = "OPEN"
 MAX_KEY_LENGTH = 255
 MAX_RULE_LENGTH, MAX_STATUS_LENGTH = 50, 20
@@ -53,6 +55,15 @@ def rejected(events: DataFrame) -> DataFrame:
     return events.where(~F.coalesce(_acceptable(), F.lit(False)))
 
 
+REJECTED = "alert rejected: missing rule/primary or key too long"
+
+
+def dead(events: DataFrame) -> DataFrame:
+    """S3: refused alert events as dead letters."""
+    return dead_letters(rejected(events), "alerts", "fraud.alerts", F.col("deduplication_key"),
+                        F.to_json(F.struct(*ALERT_EVENT)), F.lit(REJECTED), F.col("generated_at"))
+
+
 def canonical(events: DataFrame) -> DataFrame:
     """A2: ``alerts`` table -- first accepted event per key, by arrival.
 

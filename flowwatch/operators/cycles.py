@@ -1,4 +1,4 @@
-"""Bounded, time-ordered money cycles as join chains.
+"""Bounded, time-ordered money cycles, searched from both ends.
 
 For every validated transaction ``s -> d`` (the candidate, amount ``x`` at time
 ``t``) find simple paths ``d -> ... -> s`` of 1..max_depth-1 edges where every
@@ -10,11 +10,18 @@ Currency is not compared; parallel currency edges give separate paths.
 the version whose ``(valid_from, valid_to]`` holds the candidate's arrival.
 ``snapshot`` (C2) reads the final graph.
 
-Scale: every hop is an equi-join on ``(account, time bucket, amount band)``.  A bucket is
-one window long and a band as wide as the tolerance, so a candidate needs at most two of each; the
-candidate row is exploded into them and each edge version sits in exactly one, so no path is
-produced twice and a hub account only meets edge versions of the right time
-range and amount instead of its whole history.  The closing hop joins on both ends.
+Scale:
+
+* *Meet in the middle.*  A frontier row holds the two open ends of a path.  Each step extends the end at which
+  fewer edges hang (the tail by its out-edges, the head by its in-edges), and a path is complete when one edge joins both
+  ends, an equi-join on two accounts.  So a payment into a hub is searched from the payer, not through all the
+  hub's payees.  The choice is a function of the ends, so every path comes out exactly once.
+* *Keys.*  Every join is on ``(account, time bucket, amount band, arrival level, arrival slot)``.  A bucket is one window
+  long and a band as wide as the tolerance, so a frontier row needs at most two of each.  Edge versions have
+  an arrival level by their lifetime: slots of level ``l`` are as long as the versions in it live at most, so a version lies in
+  two slots at most, and of a busy edge's many versions a row meets only those that were valid around its
+  arrival.  A row looks up the levels that occur at its open end.
+* *Trimming (C4)* removes edges and candidates that no cycle can use, before the search, round by round.
 """
 
 from __future__ import annotations
@@ -27,8 +34,9 @@ from pyspark.sql import functions as F
 from flowwatch.config import CIRCULAR_FLOW, DEFAULT_CYCLE, CycleConfig
 from flowwatch.functions import arrival, epoch_micros, name_uuid, shift_micros
 from flowwatch.operators import graph
+from flowwatch.operators.activity import graph_updates
 from flowwatch.operators.alerts import OPEN
-from flowwatch.session import checkpoint_dir
+from flowwatch.session import kept
 
 PATH_OUT = ["cand_event_id", "cand_ingested_at", "cand_transaction_id", "primary_account_id", "depth",
             "path_accounts", "path_transactions", "path_currencies"]
@@ -55,112 +63,223 @@ def cycle_candidates(events: DataFrame, cfg: CycleConfig = DEFAULT_CYCLE) -> Dat
         F.col("occurred_at").alias("t"), tmin.alias("tmin"),
         (x - slack).alias("lo"), (x + slack).alias("hi"),
         arrival().alias("arr"),
-        F.sequence(F.floor(epoch_micros(tmin) / bucket_us), F.floor(epoch_micros(F.col("occurred_at")) / bucket_us))
-        .alias("buckets"),
         F.sequence(_band(x - slack, cfg), _band(x + slack, cfg)).alias("bands"))
 
 
+#: Length of an arrival slot of the first level; a level's slots are twice as long as those of the one below.
+_SLOT_US = 1_000_000
+#: Level of versions that live longer than a window, the current ones among them.
+_LONG = 0
+
+
+def _slot_width(level: str) -> Column:
+    return F.expr(f"shiftleft({_SLOT_US}L, {level} - 1)")
+
+
 def edge_view(edge_df: DataFrame, cfg: CycleConfig, as_of: bool) -> DataFrame:
-    """Edges (or edge versions) with the columns the hops need."""
+    """Edges (or edge versions) with the columns the hops need, once per arrival slot."""
     bucket_us = cfg.window_seconds * 1_000_000
     cols = [F.col("src").alias("e_src"), F.col("dst").alias("e_dst"), F.col("currency").alias("e_cur"),
             F.col("total_amount_minor").alias("e_total"), F.col("latest_occurred_at").alias("e_occ"),
             F.col("latest_transaction_id").alias("e_tx"),
             F.floor(epoch_micros(F.col("latest_occurred_at")) / bucket_us).alias("e_bucket"),
             _band(F.col("total_amount_minor"), cfg).alias("e_band")]
-    if as_of:
-        cols += [F.col("valid_from").alias("e_vf"), F.col("valid_to").alias("e_vt")]
-    return edge_df.select(*cols)
+    if not as_of:
+        return edge_df.select(*cols, F.lit(_LONG).alias("e_level"), F.lit(0).cast("long").alias("e_slot"))
+    start, end = epoch_micros(F.col("valid_from.ts")), epoch_micros(F.col("valid_to.ts"))
+    life = end - start
+    step = F.greatest(F.ceil(F.log2(F.greatest(life, F.lit(1)) / _SLOT_US)), F.lit(0)).cast("int") + 1
+    level = F.when(life <= bucket_us, step).otherwise(F.lit(_LONG))             # a current version has no end
+    width = _slot_width("e_level")
+    slots = F.when(F.col("e_level") > _LONG, F.sequence(F.floor(F.col("_start") / width), F.floor(F.col("_end") / width))).otherwise(
+        F.array(F.lit(0).cast("long")))
+    return (edge_df.select(*cols, F.col("valid_from").alias("e_vf"), F.col("valid_to").alias("e_vt"),
+                           level.alias("e_level"), start.alias("_start"), end.alias("_end"))
+            .withColumn("e_slot", F.explode(slots)).drop("_start", "_end"))
 
 
-def prefilter(edge_df: DataFrame, events: DataFrame) -> DataFrame:
-    """C4: drop edges that cannot lie on a cycle.
+def with_degrees(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges with what hangs at both their ends, out-edges per account, in-edges per account): number and arrival levels."""
+    def hanging(end: str, name: str) -> DataFrame:
+        return edges.groupBy(F.col(end).alias("_at")).agg(
+            F.count(F.lit(1)).alias(f"{name}_count"), F.collect_set("e_level").alias(f"{name}_levels"))
 
-    An edge ``u -> v`` on a cycle needs an edge into ``u`` and one out of ``v``;
-    candidates are edges too, so node sets come from the events.  Semi-joins
-    against distinct node sets, no change to any result.
-    """
-    has_in = events.select(F.col("destination_account_id").alias("src")).distinct()
-    has_out = events.select(F.col("source_account_id").alias("dst")).distinct()
-    return edge_df.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi")
+    out, into = hanging("e_src", "e_out"), hanging("e_dst", "e_in")
+    both = (edges.join(out, F.col("e_dst") == F.col("_at"), "left").drop("_at")
+            .join(into, F.col("e_src") == F.col("_at"), "left").drop("_at"))
+    return both, out, into
 
 
-def _hop(paths: DataFrame, edges: DataFrame, as_of: bool, closing: bool) -> DataFrame:
-    """Extend every path by one edge out of its tail.
+def trim(edge_df: DataFrame, cands: DataFrame, cfg: CycleConfig, max_rounds: int = 8, min_gain: float = 0.0,
+         materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """C4: (edges, candidates) without those that no cycle can use, by rounds to a fixed point.
 
-    ``closing``: the edge must end at the candidate source (two-column key);
-    otherwise it must not, and must not revisit a node.
+    Of edges and candidates only distinct (account, account, time bucket, amount band) rows take part.  In a cycle an edge
+    is preceded by an edge into its source (or follows the candidate) and followed by one out of its destination (or closes
+    at the candidate's source); neighbours lie at most a window apart and in bands that one candidate's tolerance
+    spans, which are two, or three where rounding falls on a border.  Rows that lack a neighbour go, which may leave others without; a round that removes
+    no more than ``min_gain`` of them is the last.  No cycle is lost, however many rounds run.
     """
-    p = paths.withColumn("_b", F.explode("buckets")).withColumn("_a", F.explode("bands"))
-    cond = [p["tail"] == edges["e_src"], p["_b"] == edges["e_bucket"], p["_a"] == edges["e_band"]]
-    if closing:
-        cond.append(p["cs"] == edges["e_dst"])
-    j = p.join(edges, cond)
+    bucket_us = cfg.window_seconds * 1_000_000
+    banded = cfg.tolerance_percent <= 60                       # beyond, a candidate's bands are not bounded
+    span = [0, 1, 2] if banded else [0]
+    band = (lambda c: c) if banded else (lambda c: F.lit(0))
+    edge_key = [F.col("src"), F.col("dst"), F.floor(epoch_micros(F.col("latest_occurred_at")) / bucket_us).alias("bucket"),
+                band(_band(F.col("total_amount_minor"), cfg)).alias("band")]
+    now = F.floor(epoch_micros(F.col("t")) / bucket_us).alias("bucket")
+    of = cands.select(F.col("cs").alias("src"), F.col("cd").alias("dst"), now,
+                      (F.get("bands", F.lit(0)) if banded else F.lit(0)).alias("band"))
+    rows = edge_df.select(F.lit(True).alias("edge"), *edge_key).union(of.select(F.lit(False), "*")).distinct()
+
+    def near(frame: DataFrame, node: str, after: list[int], spread: list[int]) -> DataFrame:
+        """Keys (node, bucket, band) at which a row of ``frame`` serves as a neighbour."""
+        return frame.select(F.col(node).alias("node"), F.explode(F.array(*[F.col("bucket") + k for k in after])).alias("bucket"),
+                            "band").select("node", "bucket", F.explode(F.array(*[F.col("band") + k for k in spread])).alias("band"))
+
+    def with_neighbours(frame: DataFrame, out: DataFrame, into: DataFrame) -> DataFrame:
+        """``out``: what may follow at a row's destination; ``into``: what may precede at its source."""
+        for node, keys in (("dst", out), ("src", into)):
+            keys = keys.distinct().withColumnRenamed("node", "_node").withColumnRenamed("bucket", "_bucket").withColumnRenamed("band", "_band")
+            frame = frame.join(keys, (F.col(node) == F.col("_node")) & (F.col("bucket") == F.col("_bucket")) & (F.col("band") == F.col("_band")),
+                               "left_semi")
+        return frame
+
+    wide, back = sorted({j - k for j in span for k in span}), [-k for k in span]
+    rows = _materialize(rows, materialize)
+    left = rows.count() if materialize else None
+    for _ in range(max_rounds if materialize else 1):
+        e, c = rows.where("edge"), rows.where("not edge")
+        # an edge is followed in its own bucket or the next; it closes at, and follows, candidates of its bucket or the next
+        follows = near(e, "src", [-1, 0], wide).union(near(c, "src", [-1, 0], span))
+        precedes = near(e, "dst", [0, 1], wide).union(near(c, "dst", [-1, 0], span))
+        kept_e = with_neighbours(e, follows, precedes)
+        kept_c = with_neighbours(c, near(e, "src", [0, 1], back), near(e, "dst", [0, 1], back))
+        rows = _materialize(kept_e.union(kept_c), materialize)
+        if not materialize:
+            break
+        before, left = left, rows.count()
+        if before - left <= min_gain * before:
+            break
+    e = rows.where("edge").select("src", "dst", "bucket", "band").distinct()
+    c = rows.where("not edge").select(F.col("src").alias("cs"), F.col("dst").alias("cd"), "bucket", "band")
+    lowest = F.get("bands", F.lit(0)) if banded else F.lit(0)
+    edges = (edge_df.withColumns({"bucket": edge_key[2], "band": edge_key[3]})
+             .join(e, ["src", "dst", "bucket", "band"], "left_semi").select(*edge_df.columns))
+    return edges, (cands.withColumn("bucket", now).withColumn("band", lowest)
+                   .join(c, ["cs", "cd", "bucket", "band"], "left_semi").select(*cands.columns))
+
+
+def prefilter(edge_df: DataFrame, events: DataFrame, cfg: CycleConfig = DEFAULT_CYCLE, max_rounds: int = 8) -> DataFrame:
+    """C4: the edges that ``trim`` keeps, with every event as a candidate."""
+    return trim(edge_df, cycle_candidates(events, cfg), cfg, max_rounds)[0]
+
+
+_PATH = ["nodes", "back_nodes", "txs", "back_txs", "curs", "back_curs"]
+
+
+def _open_ends(cands: DataFrame, out: DataFrame, into: DataFrame) -> DataFrame:
+    """Frontier rows of the candidates: both ends open, nothing between them; candidates with an end without edges go."""
+    empty = F.array().cast("array<string>")
+    return (cands.join(out, F.col("cd") == F.col("_at")).drop("_at").join(into, F.col("cs") == F.col("_at")).drop("_at")
+            .select(*cands.columns, F.col("cd").alias("tail"), F.col("e_out_count").alias("tail_count"), F.col("e_out_levels").alias("tail_levels"),
+                    F.col("cs").alias("head"), F.col("e_in_count").alias("head_count"), F.col("e_in_levels").alias("head_levels"),
+                    F.array("cd").alias("nodes"), *[empty.alias(c) for c in _PATH[1:]],
+                    F.col("tmin").alias("prev_occ"), F.col("t").alias("next_occ")))
+
+
+def _meeting(frontier: DataFrame, edges: DataFrame, cfg: CycleConfig, as_of: bool, ends: list[tuple[str, str]]) -> DataFrame:
+    """Frontier rows with every edge that fits between their ends: joined on ``ends`` and on time bucket, band and arrival slot."""
+    bucket_us = cfg.window_seconds * 1_000_000
+    levels = "tail_levels" if ends[0][0] == "tail" else "head_levels"
+    when = F.sequence(F.floor(epoch_micros(F.col("prev_occ")) / bucket_us), F.floor(epoch_micros(F.col("next_occ")) / bucket_us))
+    p = frontier.withColumn("_b", F.explode(when)).withColumn("_a", F.explode("bands"))
+    cond = [F.col("_b") == F.col("e_bucket"), F.col("_a") == F.col("e_band")]
+    if as_of:
+        slot = F.when(F.col("_l") == _LONG, F.lit(0).cast("long")).otherwise(F.floor(epoch_micros(F.col("arr.ts")) / _slot_width("_l")))
+        p = p.withColumn("_l", F.explode(levels)).withColumn("_s", slot)
+        cond += [F.col("_l") == F.col("e_level"), F.col("_s") == F.col("e_slot")]
+    cond = [F.col(a) == F.col(b) for a, b in ends] + cond
     keep = ((F.col("e_total") >= F.col("lo")) & (F.col("e_total") <= F.col("hi"))
-            & (F.col("e_occ") >= F.col("tmin")) & (F.col("e_occ") <= F.col("t"))
-            & (F.col("prev_occ").isNull() | (F.col("e_occ") >= F.col("prev_occ"))))
+            & (F.col("e_occ") >= F.col("prev_occ")) & (F.col("e_occ") <= F.col("next_occ")))
     if as_of:
         keep = keep & (F.col("e_vf") < F.col("arr")) & (F.col("e_vt").isNull() | (F.col("arr") <= F.col("e_vt")))
-    if not closing:
-        keep = keep & (F.col("e_dst") != F.col("cs")) & ~F.array_contains("nodes", F.col("e_dst"))
-    return (j.where(keep)
-            .withColumn("nodes", F.concat("nodes", F.array("e_dst")))
-            .withColumn("txs", F.concat("txs", F.array("e_tx")))
-            .withColumn("curs", F.concat("curs", F.array("e_cur")))
-            .withColumn("prev_occ", F.col("e_occ"))
-            .withColumn("tail", F.col("e_dst"))
-            .drop("_b", "_a", *[c for c in edges.columns]))
-
-
-def find_paths(cands: DataFrame, edges: DataFrame, cfg: CycleConfig, as_of: bool) -> DataFrame:
-    """All qualifying paths, union over 1..max_depth-1 edges."""
-    start = cands.select("*", F.col("cd").alias("tail"), F.array("cd").alias("nodes"),
-                         F.array().cast("array<string>").alias("txs"),
-                         F.array().cast("array<string>").alias("curs"),
-                         F.lit(None).cast(cands.schema["t"].dataType).alias("prev_occ"))
-    found = []
-    frontier = start
+    return p.join(edges, cond).where(keep).drop("_b", "_a", "_l", "_s")
+
+
+def _new(node: str) -> Column:
+    return (F.col(node) != F.col("cs")) & ~F.array_contains("nodes", F.col(node)) & ~F.array_contains("back_nodes", F.col(node))
+
+
+def _grown(frontier: DataFrame, edges: DataFrame, cfg: CycleConfig, as_of: bool) -> DataFrame:
+    """Frontier rows one edge longer, each at its lighter end."""
+    at_tail = F.col("tail_count") <= F.col("head_count")
+    columns = frontier.columns
+    ahead = (_meeting(frontier.where(at_tail), edges, cfg, as_of, [("tail", "e_src")])
+             .where(_new("e_dst") & F.col("e_out_count").isNotNull())
+             .withColumns({"nodes": F.concat("nodes", F.array("e_dst")), "txs": F.concat("txs", F.array("e_tx")),
+                           "curs": F.concat("curs", F.array("e_cur")), "prev_occ": F.col("e_occ"), "tail": F.col("e_dst"),
+                           "tail_count": F.col("e_out_count"), "tail_levels": F.col("e_out_levels")}))
+    back = (_meeting(frontier.where(~at_tail), edges, cfg, as_of, [("head", "e_dst")])
+            .where(_new("e_src") & F.col("e_in_count").isNotNull())
+            .withColumns({"back_nodes": F.concat(F.array("e_src"), "back_nodes"), "back_txs": F.concat(F.array("e_tx"), "back_txs"),
+                          "back_curs": F.concat(F.array("e_cur"), "back_curs"), "next_occ": F.col("e_occ"), "head": F.col("e_src"),
+                          "head_count": F.col("e_in_count"), "head_levels": F.col("e_in_levels")}))
+    return ahead.select(*columns).union(back.select(*columns))
+
+
+def find_paths(cands: DataFrame, edges: DataFrame, out: DataFrame, into: DataFrame, cfg: CycleConfig, as_of: bool,
+               materialize: bool = False) -> DataFrame:
+    """All qualifying paths, union over 1..max_depth-1 edges; ``edges``, ``out`` and ``into`` as ``with_degrees`` gives them.
+
+    A frontier is closed and grown further; written once, it is not searched again for either.
+    """
+    frontier = _materialize(_open_ends(cands, out, into), materialize)
+    found = None
     for depth in range(1, cfg.max_depth):
-        found.append(_hop(frontier, edges, as_of, closing=True).withColumn("depth", F.lit(depth)))
+        closed = _meeting(frontier, edges, cfg, as_of, [("tail", "e_src"), ("head", "e_dst")]).select(
+            "cand_event_id", "cand_ingested_at", "cand_transaction_id", F.col("cs").alias("primary_account_id"),
+            F.lit(depth).alias("depth"),
+            F.concat("nodes", "back_nodes", F.array("cs")).alias("path_accounts"),
+            F.concat("txs", F.array("e_tx"), "back_txs").alias("path_transactions"),
+            F.concat("curs", F.array("e_cur"), "back_curs").alias("path_currencies"))
+        found = closed if found is None else found.unionByName(closed)
         if depth < cfg.max_depth - 1:
-            frontier = _hop(frontier, edges, as_of, closing=False)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.select("cand_event_id", "cand_ingested_at", "cand_transaction_id",
-                      F.col("cs").alias("primary_account_id"), "depth",
-                      F.col("nodes").alias("path_accounts"), F.col("txs").alias("path_transactions"),
-                      F.col("curs").alias("path_currencies"))
+            frontier = _materialize(_grown(frontier, edges, cfg, as_of), materialize)
+    return found
+
 
+def _materialize(df: DataFrame, enabled: bool, name: str = "cycle") -> DataFrame:
+    """Written once where several joins read it."""
+    return kept(df, name) if enabled else df
 
-def _materialize(df: DataFrame, enabled: bool) -> DataFrame:
-    """Write the edge table once (reliable checkpoint in ``spark.checkpoint.dir``):
-    every hop reads it, and a lost executor recomputes from the files."""
-    if not enabled:
-        return df
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+#: Trimming rounds inside the search: a further one has to be worth its two shuffles.
+_ROUNDS, _WORTH = 3, 0.1
+
+
+def search(candidates: DataFrame, edge_df: DataFrame, cfg: CycleConfig = DEFAULT_CYCLE, as_of: bool = True,
+           prefilter_edges: bool = True, materialize: bool = True) -> DataFrame:
+    """Paths that events close over edge versions (or, not ``as_of``, over edges)."""
+    cands = cycle_candidates(candidates, cfg)
+    if prefilter_edges:
+        edge_df = _materialize(edge_df, materialize)
+        edge_df, cands = trim(edge_df, cands, cfg, _ROUNDS, _WORTH, materialize)
+    edges, out, into = with_degrees(_materialize(edge_view(edge_df, cfg, as_of), materialize))
+    return find_paths(cands, _materialize(edges, materialize), out, into, cfg, as_of, materialize)
 
 
 def circular_flow(events: DataFrame, cfg: CycleConfig = DEFAULT_CYCLE, prefilter_edges: bool = True,
                   materialize: bool = True) -> DataFrame:
     """Paths over the graph as of each candidate's arrival (strictly before)."""
-    updates = graph.processed(events)
-    versions = graph.edge_versions(updates)
-    if prefilter_edges:
-        versions = prefilter(versions, events)
-    edges = _materialize(edge_view(versions, cfg, True), materialize)
-    return find_paths(cycle_candidates(events, cfg), edges, cfg, True)
+    versions = graph.edge_versions(graph.processed(graph_updates(events)))
+    return search(events, versions, cfg, True, prefilter_edges, materialize)
 
 
 def circular_flow_snapshot(events: DataFrame, cfg: CycleConfig = DEFAULT_CYCLE,
                            prefilter_edges: bool = True, materialize: bool = True) -> DataFrame:
     """Paths over the final graph."""
-    final = graph.edges(graph.processed(events))
-    if prefilter_edges:
-        final = prefilter(final, events)
-    edges = _materialize(edge_view(final, cfg, False), materialize)
-    return find_paths(cycle_candidates(events, cfg), edges, cfg, False)
+    final = graph.edges(graph.processed(graph_updates(events)))
+    return search(events, final, cfg, False, prefilter_edges, materialize)
 
 
 def circular_alerts(paths: DataFrame) -> DataFrame:

@@ -72,9 +72,17 @@ def edge_report(edge_df: DataFrame) -> DataFrame:
     return edge_df.select("src", "dst", "currency", "transaction_count", "total_amount_minor")
 
 
-def edge_versions(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def _beginning(ts_type: str) -> Column:
+    """An arrival before all others."""
+    return F.struct(F.lit("0001-01-01 00:00:00").cast(ts_type).alias("ts"), F.lit("").alias("id"))
+
+
+def edge_versions(events: DataFrame, bucket_seconds: int = 3600, base: DataFrame | None = None) -> DataFrame:
     """State of each edge after each of its events, valid between arrivals.
 
+    ``base`` holds the edges (with ``latest`` as arg-min struct) that events before these have made: the versions go on from
+    them, and each of them is a version that is valid until the first of these events on it.
+
     A version made by the event arriving at ``valid_from`` is what a reader
     arriving in ``(valid_from, valid_to]`` sees; ``valid_to`` is the next
     arrival on the same edge, null for the current version.
@@ -92,6 +100,13 @@ def edge_versions(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
         F.min("occurred_at").alias("_bmin"), F.max("occurred_at").alias("_bmax"),
         F.count(F.lit(1)).alias("_bn"), F.sum("amount_minor").alias("_bs"),
         F.min("_lo").alias("_bl"), F.min("arr").alias("_bfirst"))
+    if base is not None:
+        per_bucket = per_bucket.unionByName(base.select(
+            *EDGE_KEY, F.lit(-(1 << 62)).cast("long").alias("_b"), F.col("first_seen").alias("_bmin"), F.col("last_seen").alias("_bmax"),
+            F.col("transaction_count").alias("_bn"), F.col("total_amount_minor").alias("_bs"),
+            F.struct(F.col("latest.o").alias("o"), F.col("latest.transaction_id").alias("transaction_id"),
+                     F.col("latest.occurred_at").alias("occurred_at")).alias("_bl"),
+            F.lit(None).cast(per_bucket.schema["_bfirst"].dataType).alias("_bfirst")))
     before = Window.partitionBy(*EDGE_KEY).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     by_bucket = Window.partitionBy(*EDGE_KEY).orderBy("_b")
     prior = per_bucket.select(
@@ -109,7 +124,7 @@ def edge_versions(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
         F.count(F.lit(1)).over(upto).alias("_rn"), F.sum("amount_minor").over(upto).alias("_rs"),
         F.min("_lo").over(upto).alias("_rl"), F.lead("arr").over(nxt).alias("_next"))
     latest = F.least("_pl", "_rl")
-    return (inside.join(prior, EDGE_KEY + ["_b"])
+    made = (inside.join(prior, EDGE_KEY + ["_b"])
             .select(*EDGE_KEY,
                     F.least("_pmin", "_rmin").alias("first_seen"),
                     F.greatest("_pmax", "_rmax").alias("last_seen"),
@@ -119,3 +134,12 @@ def edge_versions(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
                     latest["occurred_at"].alias("latest_occurred_at"),
                     F.col("arr").alias("valid_from"),
                     F.coalesce("_next", "_next_bucket_first").alias("valid_to")))
+    if base is None:
+        return made
+    first = rows.groupBy(*EDGE_KEY).agg(F.min("arr").alias("valid_to"))
+    ts_type = events.schema["ingested_at"].dataType.simpleString()
+    kept = base.join(first, EDGE_KEY, "left").select(
+        *EDGE_KEY, "first_seen", "last_seen", "transaction_count", "total_amount_minor",
+        F.col("latest.transaction_id").alias("latest_transaction_id"), F.col("latest.occurred_at").alias("latest_occurred_at"),
+        _beginning(ts_type).alias("valid_from"), "valid_to")
+    return made.unionByName(kept)

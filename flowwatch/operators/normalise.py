@@ -6,6 +6,8 @@ input exactly; no shuffle is involved.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +48,11 @@ def failure_reason(null_event: Column | None = None) -> Column:
 
 
 def classify(raw: DataFrame, null_event: str | None = None) -> DataFrame:
-    """Raw events plus ``failure_reason`` (null = valid)."""
-    flag = F.col(null_event) if null_event else None
+    """Raw events plus ``failure_reason`` (null = valid).
+
+    ``null_event`` names a column that marks null events; without it a row all of whose columns are null is one.
+    """
+    flag = F.col(null_event) if null_event else reduce(lambda a, b: a & b, [F.col(c).isNull() for c in EVENT_COLUMNS])
     return raw.withColumn("failure_reason", failure_reason(flag))
 
 

@@ -20,6 +20,11 @@ The first two are top-k per group (``row_number() <= k`` plans as a partial
 ``WindowGroupLimit`` before the shuffle, so a hot group is cut down map-side).
 The third is a two-level prefix sum: per-second segment totals, a running sum
 over segments, and a row-level running sum inside the one crossing segment.
+
+The on-time rows are written once and aggregated once, per ``(group,
+counterparty)``; that table decides which groups fire, where they cross their distinct threshold and whom the
+snapshot names.  The rows themselves are read twice: for it, and for counts, amounts and transactions up to the crossing.
+Evidence (W10) leaves as one row per account and transaction; only candidates carry arrays.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ from flowwatch.functions import (
     arrival, epoch_micros, epoch_millis, name_uuid, shift_micros, tumbling_start,
 )
 from flowwatch.operators.activity import activity as activity_rows
+from flowwatch.session import kept
 
 GROUP = ["rule_type", "key", "currency", "window_start"]   # window_end follows from start + rule
 
@@ -121,41 +127,29 @@ def _amount_crossing(ev: DataFrame, rules) -> DataFrame | None:
             .select(*GROUP, F.col("arr").alias("_p_amount")))
 
 
-def crossings(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES,
-              gate: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Crossing arrival of every firing group, and the rows of firing groups.
+COUNTERPARTY = ["counterparty", "first", "events", "amount"]
 
-    ``gate``: decide firing groups first with a hash aggregate (W6) and run the
-    arrival-ordered work on their rows only -- right when few groups fire, as
-    with production thresholds.  Without the gate one aggregation per
-    ``(group, counterparty)`` serves both the totals and the distinct
-    crossing -- right when most groups fire.
-    """
+
+def counterparties(rows: DataFrame) -> DataFrame:
+    """One row per (group, counterparty): first arrival, events and amount.  ``rows`` are windowed and have ``arr``."""
+    return rows.groupBy(*GROUP, "counterparty").agg(
+        F.min("arr").alias("first"), F.count(F.lit(1)).alias("events"), F.sum("amount_minor").alias("amount"))
+
+
+def crossings(rows: DataFrame, per_cp: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES) -> DataFrame:
+    """(group, crossing): arrival of the crossing event of every firing group."""
     rules = tuple(rules)
-    w = windowed(activity, rules).withColumn("arr", arrival())
-    if gate:
-        fired = window_final(activity, rules).select(*GROUP)
-        ev = w.join(fired, GROUP, "left_semi")
-        per_cp = ev.groupBy(*GROUP, "counterparty").agg(F.min("arr").alias("arr"))
-    else:
-        per_cp = w.groupBy(*GROUP, "counterparty").agg(
-            F.min("arr").alias("arr"), F.count(F.lit(1)).alias("_n"), F.sum("amount_minor").alias("_s"))
-        totals = per_cp.groupBy(*GROUP).agg(
-            F.count(F.lit(1)).alias("_d"), F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
-        fired = totals.where(_fires(rules, F.col("_d"), F.col("_n"), F.col("_s"))).select(*GROUP)
-        per_cp = per_cp.join(fired, GROUP, "left_semi")
-        ev = w
-    parts = [_kth(per_cp, rules, "min_distinct", "_p_distinct")]
+    totals = per_cp.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_d"), F.sum("events").alias("_n"), F.sum("amount").alias("_s"))
+    fired = totals.where(_fires(rules, F.col("_d"), F.col("_n"), F.col("_s"))).select(*GROUP)
+    parts = [_kth(per_cp.join(fired, GROUP, "left_semi").withColumn("arr", F.col("first")), rules, "min_distinct", "_p_distinct")]
     if any(r.min_count > 0 or r.min_amount > 0 for r in rules):
-        evf = ev if gate else w.join(fired, GROUP, "left_semi")
-        parts += [_kth(evf, rules, "min_count", "_p_count"), _amount_crossing(evf, rules)]
+        of_fired = rows.join(fired, GROUP, "left_semi")
+        parts += [_kth(of_fired, rules, "min_count", "_p_count"), _amount_crossing(of_fired, rules)]
     parts = [p for p in parts if p is not None]
     joined = reduce(lambda l, r: l.join(r, GROUP, "left"), parts)
     names = [c for c in joined.columns if c.startswith("_p_")]
     point = F.greatest(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0])
-    # The snapshot reads the gated rows: re-running the (hash-aggregate) gate is
-    # cheaper than shuffling every windowed row into the snapshot join.
-    return joined.select(*GROUP, point.alias("crossing")), ev
+    return joined.select(*GROUP, point.alias("crossing"))
 
 
 def identity(df: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES) -> DataFrame:
@@ -177,25 +171,41 @@ CANDIDATE_OUT = ["candidate_id", "deduplication_key", "rule_type", "primary_acco
                  "generated_at", "trigger_event_id"]
 
 
+ROW = [*GROUP, "counterparty", "arr", "amount_minor", "transaction_id"]
+
+
+def _shared(activity: DataFrame, rules, materialize: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(windowed rows, their counterparties, crossings): what candidates and evidence are made of."""
+    keep = kept if materialize else (lambda df, name: df)
+    rows = keep(windowed(activity, rules).withColumn("arr", arrival()).select(*ROW), "rule-rows")
+    per_cp = keep(counterparties(rows), "rule-counterparties")
+    return rows, per_cp, keep(crossings(rows, per_cp, rules), "rule-crossings")
+
+
 def first_crossing(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES,
-                   generated_at: Column | None = None, gate: bool = True) -> DataFrame:
+                   generated_at: Column | None = None, materialize: bool = True) -> DataFrame:
     """W5 + W8: one ``fraud_candidate`` per firing group, state as of the crossing.
 
     A crossing event that is delivered several times counts as often as it takes to cross,
     once in general.  ``generated_at`` defaults to the arrival time of the crossing event.
     """
     rules = tuple(rules)
-    cross, ev = crossings(activity, rules, gate)
+    return _candidates(*_shared(activity, rules, materialize), rules, generated_at)
+
+
+def _candidates(rows: DataFrame, per_cp: DataFrame, cross: DataFrame, rules, generated_at: Column | None = None) -> DataFrame:
     before = F.col("arr") < F.col("crossing")
     amount_before = F.coalesce(F.sum(F.when(before, F.col("amount_minor"))), F.lit(0))
-    snap = (ev.join(cross, GROUP).where(F.col("arr") <= F.col("crossing"))
-            .groupBy(*GROUP).agg(
-                F.count_distinct("counterparty").cast("int").alias("distinct_accounts_count"),
-                F.count_if(before).alias("_count"), amount_before.alias("_amount"),
-                F.max(F.when(~before, F.col("amount_minor"))).alias("_last"),
-                F.array_sort(F.collect_set("counterparty")).alias("involved_accounts"),
-                F.array_sort(F.collect_set("transaction_id")).alias("transaction_ids"),
-                F.max("crossing").alias("crossing"))
+    named = (per_cp.join(cross, GROUP).where(F.col("first") <= F.col("crossing")).groupBy(*GROUP).agg(
+        F.count(F.lit(1)).cast("int").alias("distinct_accounts_count"),
+        F.array_sort(F.collect_list("counterparty")).alias("involved_accounts")))
+    counted = (rows.join(cross, GROUP).where(F.col("arr") <= F.col("crossing"))
+               .groupBy(*GROUP).agg(
+                   F.count_if(before).alias("_count"), amount_before.alias("_amount"),
+                   F.max(F.when(~before, F.col("amount_minor"))).alias("_last"),
+                   F.array_sort(F.collect_set("transaction_id")).alias("transaction_ids"),
+                   F.max("crossing").alias("crossing")))
+    snap = (counted.join(named, GROUP)
             .withColumn("_short", _per_rule(rules, "min_amount") - F.col("_amount"))
             .withColumn("_copies", F.greatest(F.lit(1), _per_rule(rules, "min_count") - F.col("_count"),
                                               F.expr("(_short + _last - 1) div _last")))
@@ -208,12 +218,28 @@ def first_crossing(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RU
             .select(*CANDIDATE_OUT))
 
 
+def _taken(events: DataFrame, rules, drop_late: bool, bucket_seconds: int) -> DataFrame:
+    act = activity_rows(events, rules)
+    return on_time(act, rules, bucket_seconds) if drop_late else act
+
+
 def candidates(events: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES,
                drop_late: bool = True, bucket_seconds: int = 1) -> DataFrame:
     """Validated events -> fraud candidates of all configured rules; late rows take no part unless ``drop_late`` is off."""
     rules = tuple(rules)
-    act = activity_rows(events, rules)
-    return first_crossing(on_time(act, rules, bucket_seconds) if drop_late else act, rules)
+    return first_crossing(_taken(events, rules, drop_late, bucket_seconds), rules)
+
+
+def evidence(events: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES, drop_late: bool = True,
+             bucket_seconds: int = 1) -> DataFrame:
+    """(deduplication_key, kind, value), one row per account and transaction of a candidate, without arrays on the way."""
+    rules = tuple(rules)
+    rows, per_cp, cross = _shared(_taken(events, rules, drop_late, bucket_seconds), rules, True)
+    accounts = per_cp.join(cross, GROUP).where(F.col("first") <= F.col("crossing")).select(
+        *GROUP, F.lit("account").alias("kind"), F.col("counterparty").alias("value"))
+    transactions = rows.join(cross, GROUP).where(F.col("arr") <= F.col("crossing")).select(
+        *GROUP, F.lit("transaction").alias("kind"), F.col("transaction_id").alias("value")).distinct()
+    return identity(accounts.unionByName(transactions), rules).select("deduplication_key", "kind", "value")
 
 
 _BUCKETS_PER_SPAN = 3600
@@ -260,10 +286,10 @@ def late_events(activity: DataFrame, rules: Iterable[RuleConfig] = DEFAULT_RULES
 
 
 def evidence_accounts(cands: DataFrame) -> DataFrame:
-    """One row per (candidate, involved account)."""
+    """W10 from candidates: one row per (candidate, involved account)."""
     return cands.select("deduplication_key", F.explode("involved_accounts").alias("account_id"))
 
 
 def evidence_transactions(cands: DataFrame) -> DataFrame:
-    """One row per (candidate, transaction)."""
+    """W10 from candidates: one row per (candidate, transaction)."""
     return cands.select("deduplication_key", F.explode("transaction_ids").alias("transaction_id"))

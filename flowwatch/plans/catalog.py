@@ -8,6 +8,8 @@ joined strings in path order, so results can be compared by value.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,7 @@ from flowwatch.operators import alerts, cycles, evaluation, graph, ledger, metri
 from flowwatch.plans import jobs
 from flowwatch.schemas import EVENT_COLUMNS
 from flowwatch.sources import intake
+from flowwatch.sources.staging import staged
 from flowwatch.sources.tables import load_base_transactions, load_transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +101,7 @@ def messages(spark, sf) -> DataFrame:
     # fault injection: a cut-off payload (undecodable JSON) for every 211th row
     text = F.when(F.col("id") % 211 == 0, F.substring(text, 1, 25)).otherwise(text)
     text = F.when(F.col("id") % 223 == 0, _quote(text)).otherwise(text)
+    text = F.when(F.col("id") % 229 == 0, F.lit("null")).otherwise(text)         # a null event
     return b.select("id", F.col("source_account_id").alias("key"), text.alias("value"),
                     F.col("ingested_at").alias("received_at"))
 
@@ -111,7 +115,8 @@ def q_json_decode(spark, sf):
 @register("dead_letter")
 def q_dead_letter(spark, sf):
     decoded = intake.json_decode(messages(spark, sf))
-    return jobs.dead_letter_table(_raw(spark, sf), decoded).select("origin", "topic", "key", "error", "event_time")
+    return jobs.dead_letter_table(_raw(spark, sf), decoded, _fixture_alert_events(spark, sf)).select(
+        "origin", "topic", "key", "error", "event_time")
 
 
 @register("event_time")
@@ -195,6 +200,21 @@ def q_candidate_identity(spark, sf):
         "rule_type", "key", "currency", "window_start", "deduplication_key", "candidate_id", "primary_account_id")
 
 
+#: The stream's rules: a grace beyond the fixture's delays (replays and conflicts come hours late), so that no row is late.
+STREAM_RULES = tuple(replace(r, grace_seconds=3 * 86400) for r in DRIVER_RULES)
+
+
+@register("rule_streaming")
+def q_rule_streaming(spark, sf):
+    """The rules as streaming queries over the events in batches by arrival, read back from their sinks."""
+    from flowwatch.streaming import flows
+    valid = _valid(spark, sf)
+    valid = valid.withColumns({c: F.col(c).cast("timestamp") for c in ("occurred_at", "ingested_at")})
+    found = flows.replay_rules(valid, STREAM_RULES, f"{session.checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}")
+    plain = found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end", "generated_at")})
+    return flat_candidates(plain)
+
+
 @register("late_events")
 def q_late_events(spark, sf):
     return rules.late_events(act.activity(_valid(spark, sf), DRIVER_RULES), DRIVER_RULES)
@@ -202,23 +222,14 @@ def q_late_events(spark, sf):
 
 @register("rule_evidence")
 def q_rule_evidence(spark, sf):
-    c = rules.candidates(_valid(spark, sf), DRIVER_RULES)
-    a = rules.evidence_accounts(c).select("deduplication_key", F.lit("account").alias("kind"),
-                                          F.col("account_id").alias("value"))
-    t = rules.evidence_transactions(c).select("deduplication_key", F.lit("transaction").alias("kind"),
-                                              F.col("transaction_id").alias("value"))
-    return a.unionByName(t)
+    return rules.evidence(_valid(spark, sf), DRIVER_RULES)
 
 
 # ---------------------------------------------------------------- alerts
-def _fixture_alert_events(spark, sf, materialize: bool = True) -> DataFrame:
-    """The alert stream (A8) the projector reads; written once (checkpoint in
-    the shared folder) because canonical alerts and evidence both read it."""
-    ev = jobs.all_alert_events(_valid(spark, sf), DRIVER_RULES, DRIVER_CYCLE)
-    if not materialize:
-        return ev
-    session.checkpoint_dir(spark)
-    return ev.checkpoint(eager=True)
+def _fixture_alert_events(spark, sf) -> DataFrame:
+    """The alert stream (A8) that all projector queries read: staged once per state of the input, like the transactions."""
+    session.prepare(spark)
+    return staged(spark, "alert_events", sf, lambda: jobs.all_alert_events(_valid(spark, sf), DRIVER_RULES, DRIVER_CYCLE))
 
 
 @register("alert_generation")
@@ -228,7 +239,7 @@ def q_alert_generation(spark, sf):
 
 @register("alert_union")
 def q_alert_union(spark, sf):
-    return flat_alert_events(_fixture_alert_events(spark, sf, materialize=False))
+    return flat_alert_events(_fixture_alert_events(spark, sf))
 
 
 @register("alerts")
@@ -290,18 +301,25 @@ LOOKUP_ACCOUNT_NAME = "acct-7"
 LOOKUP_START, LOOKUP_END = "2024-01-01 00:00:00", "2024-01-15 00:00:00"
 
 
+def _ledger_index(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The ledger's lookup copies and their ranges, staged once per state of the input."""
+    index = staged(spark, "ledger_index", sf, lambda: ledger.index_rows(ledger.ledger(_valid(spark, sf))),
+                   partition_by=ledger.INDEX_PARTS)
+    return index, staged(spark, "ledger_index_ranges", sf, lambda: ledger.index_ranges(index))
+
+
 @register("ledger_lookup")
 def q_ledger_lookup(spark, sf):
     from flowwatch.functions import name_uuid
     key = name_uuid(F.lit(LOOKUP_ACCOUNT_NAME))   # constant-folded by Catalyst
-    led = ledger.ledger(_valid(spark, sf))
-    return ledger.lookup(led, "source", key, F.lit(LOOKUP_START).cast("timestamp_ntz"),
+    index, ranges = _ledger_index(spark, sf)
+    return ledger.lookup(index, ranges, "source", key, F.lit(LOOKUP_START).cast("timestamp_ntz"),
                          F.lit(LOOKUP_END).cast("timestamp_ntz"))
 
 
 # ---------------------------------------------------------------- graph
 def _updates(spark, sf) -> DataFrame:
-    return graph.processed(_valid(spark, sf))
+    return graph.processed(act.graph_updates(_valid(spark, sf)))
 
 
 @register("graph_processed")
@@ -358,10 +376,13 @@ def q_circular_alert(spark, sf):
     return flat_alert_events(jobs.cycle_alerts(_valid(spark, sf), DRIVER_CYCLE))
 
 
+#: Rounds of the trimming query; the SQL check unrolls as many.
+TRIM_ROUNDS = 6
+
+
 @register("cycle_prefilter")
 def q_cycle_prefilter(spark, sf):
-    v = _valid(spark, sf)
-    return cycles.prefilter(graph.edges(graph.processed(v)), v)
+    return cycles.prefilter(graph.edges(_updates(spark, sf)), _valid(spark, sf), DRIVER_CYCLE, TRIM_ROUNDS)
 
 
 # ---------------------------------------------------------------- evaluation
@@ -403,4 +424,4 @@ def q_alerts_per_minute(spark, sf):
 @register("dead_letters_per_minute")
 def q_dead_letters_per_minute(spark, sf):
     decoded = intake.json_decode(messages(spark, sf))
-    return metrics.dead_letters_per_minute(jobs.dead_letter_table(_raw(spark, sf), decoded))
+    return metrics.dead_letters_per_minute(jobs.dead_letter_table(_raw(spark, sf), decoded, _fixture_alert_events(spark, sf)))

@@ -47,11 +47,7 @@ def dead_letter_table(raw: DataFrame, decoded: DataFrame | None = None,
                               F.to_json(F.struct(*bad_graph.columns)),
                               F.lit("correlation_id is not a UUID"), F.col("ingested_at")))
     if alert_events is not None:
-        rej_a = alerts.rejected(alert_events)
-        parts.append(dead_letters(rej_a, "alerts", "fraud.alerts", F.col("deduplication_key"),
-                                  F.to_json(F.struct(*alerts.ALERT_EVENT)),
-                                  F.lit("alert rejected: missing rule/primary or key too long"),
-                                  F.col("generated_at")))
+        parts.append(alerts.dead(alert_events))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

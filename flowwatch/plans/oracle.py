@@ -6,8 +6,10 @@ the most direct form, over the same driver tables and fixture recipe.
 
 from __future__ import annotations
 
+import math
+
 from flowwatch.config import DRIVER_CYCLE, DRIVER_RULES, CycleConfig, rule
-from flowwatch.plans.catalog import LOOKUP_ACCOUNT_NAME, LOOKUP_END, LOOKUP_START
+from flowwatch.plans.catalog import LOOKUP_ACCOUNT_NAME, LOOKUP_END, LOOKUP_START, STREAM_RULES, TRIM_ROUNDS
 from flowwatch.plans.sqlfrag import EVENT_COLS, REASON, v3, window_start, with_fixture
 
 UUID_RE = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
@@ -19,6 +21,7 @@ ALERT_COLS = ("alert_id, deduplication_key, rule_type, primary_account_id, statu
 LEDGER_COLS = ("transaction_id, event_id, source_account_id, destination_account_id, amount_minor, currency, "
                "device_id, ip_hash, occurred_at, ingested_at")
 GROUP = "rule_type, key, currency, window_start"
+GUP = f"gup AS (SELECT * FROM valid WHERE correlation_id IS NULL OR regexp_full_match(correlation_id, '{UUID_RE}'))"
 ARR = "ingested_at, event_id"
 
 
@@ -160,6 +163,28 @@ def _cycle_ctes(src: str, cfg: CycleConfig, edges: str, as_of: bool, p: str) ->
     return [cand, paths, calert]
 
 
+def _trim_ctes(cfg: CycleConfig, rounds: int) -> list[str]:
+    """Edges and candidates without those that lack a neighbour, ``rounds`` times: neighbours by EXISTS over whole tables."""
+    us, tol = cfg.window_seconds * 1_000_000, cfg.tolerance_percent
+    band = lambda x: f"CAST(floor(ln(greatest(CAST({x} AS DOUBLE), 1.0)) / {math.log((100 + tol) / (100 - tol))!r}) AS INTEGER)"
+    out = [
+        f"""te AS (SELECT *, epoch_us(latest_occurred_at) // {us} AS bucket, {band("total_amount_minor")} AS band FROM g_edges)""",
+        f"""t0 AS MATERIALIZED (SELECT DISTINCT true AS edge, src, dst, bucket, band FROM te UNION ALL
+              SELECT DISTINCT false, source_account_id, destination_account_id, epoch_us(occurred_at) // {us},
+              {band(f"amount_minor - (amount_minor * {tol}) // 100")} FROM valid)"""]
+    for k in range(rounds):
+        follows = f"""EXISTS (SELECT 1 FROM t{k} n WHERE n.src = r.dst AND CASE
+              WHEN r.edge AND n.edge THEN n.bucket - r.bucket IN (0, 1) AND abs(n.band - r.band) <= 2
+              WHEN r.edge THEN n.bucket - r.bucket IN (0, 1) AND r.band - n.band IN (0, 1, 2)
+              WHEN n.edge THEN r.bucket - n.bucket IN (0, 1) AND n.band - r.band IN (0, 1, 2) ELSE false END)"""
+        precedes = f"""EXISTS (SELECT 1 FROM t{k} n WHERE n.dst = r.src AND CASE
+              WHEN r.edge AND n.edge THEN r.bucket - n.bucket IN (0, 1) AND abs(n.band - r.band) <= 2
+              WHEN r.edge THEN n.bucket - r.bucket IN (0, 1) AND r.band - n.band IN (0, 1, 2)
+              WHEN n.edge THEN r.bucket - n.bucket IN (0, 1) AND n.band - r.band IN (0, 1, 2) ELSE false END)"""
+        out.append(f"t{k + 1} AS MATERIALIZED (SELECT * FROM t{k} r WHERE {follows} AND {precedes})")
+    return out + [f"trimmed AS (SELECT te.* FROM te SEMI JOIN (SELECT * FROM t{rounds} WHERE edge) k USING (src, dst, bucket, band))"]
+
+
 def _paths_out(p: str) -> str:
     return (f"SELECT cand_event_id, cand_ingested_at, cand_transaction_id, primary_account_id, depth, "
             f"array_to_string(acc_list, '>') AS path_accounts, array_to_string(tx_list, ',') AS path_transactions, "
@@ -168,7 +193,7 @@ def _paths_out(p: str) -> str:
 
 def _alert_ctes(src: str, rules, cycle: CycleConfig, p: str) -> list[str]:
     """Rule + cycle alert events (``{p}aev``) and canonical alerts (``{p}alerts``)."""
-    return (_rule_ctes(src, rules, p) + _graph_ctes(src, p) + _cycle_ctes(src, cycle, f"{p}ver", True, p) + [
+    return (_rule_ctes(src, rules, p) + [GUP] + _graph_ctes("gup", p) + _cycle_ctes(src, cycle, f"{p}ver", True, p) + [
         f"""{p}rev AS (SELECT candidate_id AS alert_id, deduplication_key, rule_type, primary_account_id,
               'OPEN' AS status, involved_accounts, transaction_ids, generated_at, trigger_event_id FROM {p}cand)""",
         f"""{p}aev AS (SELECT {ALERT_COLS} FROM {p}rev UNION ALL SELECT {ALERT_COLS} FROM {p}calert)""",
@@ -204,8 +229,9 @@ def _ledger_ctes() -> list[str]:
 
 
 def _messages_cte() -> str:
-    return """msg AS (SELECT id, source_account_id AS key, ingested_at AS received_at, id % 223 = 0 AS double_encoded,
-          CASE WHEN id % 211 = 0 THEN 'Malformed JSON payload' END AS decode_error, * EXCLUDE (id) FROM fx_t)"""
+    return """msg AS (SELECT id, source_account_id AS key, ingested_at AS received_at, id % 223 = 0 AND id % 229 <> 0 AS double_encoded,
+          CASE WHEN id % 211 = 0 AND id % 229 <> 0 THEN 'Malformed JSON payload' END AS decode_error, id % 229 = 0 AS null_event,
+          * EXCLUDE (id) FROM fx_t)"""
 
 
 def _dead_letter_cte() -> str:
@@ -218,7 +244,10 @@ def _dead_letter_cte() -> str:
           SELECT 'ledger', 'transactions.validated', transaction_id, error, ingested_at FROM wchk WHERE error IS NOT NULL
           UNION ALL
           SELECT 'graph', 'graph.updates', source_account_id, 'correlation_id is not a UUID', ingested_at
-          FROM valid WHERE NOT coalesce(regexp_full_match(correlation_id, '""" + UUID_RE + """'), false))"""
+          FROM valid WHERE NOT regexp_full_match(correlation_id, '""" + UUID_RE + """')
+          UNION ALL
+          SELECT 'alerts', 'fraud.alerts', deduplication_key, 'alert rejected: missing rule/primary or key too long', generated_at
+          FROM f_aev WHERE length(deduplication_key) > 255)"""
 
 
 def _match_ctes() -> list[str]:
@@ -228,7 +257,7 @@ def _match_ctes() -> list[str]:
         """exp AS (SELECT rule_type, primary_account_id, deduplication_key AS scenario_id, generated_at AS trigger_at
               FROM x_cand)""",
         """s_alerts AS (SELECT rule_type, primary_account_id, candidate_id AS alert_id, generated_at AS created_at
-              FROM s_cand)""",
+              FROM s_cand WHERE length(deduplication_key) <= 255)""",
         """em AS (SELECT *, row_number() OVER (PARTITION BY rule_type, primary_account_id ORDER BY scenario_id) AS rk
               FROM exp)""",
         """am AS (SELECT rule_type, primary_account_id, alert_id, created_at, row_number() OVER
@@ -269,9 +298,10 @@ def build() -> dict[str, str]:
           ingested_at FROM rq""")
     q["json_decode"] = _q(_messages_cte(), body="""
         SELECT id, double_encoded, decode_error,""" + ", ".join(
-        f"CASE WHEN decode_error IS NULL THEN {c.strip()} END AS {c.strip()}" for c in EVENT_COLS.split(",")) +
+        f"CASE WHEN decode_error IS NULL AND NOT null_event THEN {c.strip()} END AS {c.strip()}" for c in EVENT_COLS.split(",")) +
         " FROM msg")
-    q["dead_letter"] = _q(_messages_cte(), *_ledger_ctes(), _dead_letter_cte(),
+    al = _alert_ctes("valid", DRIVER_RULES, DRIVER_CYCLE, "f_")
+    q["dead_letter"] = _q(_messages_cte(), *_ledger_ctes(), *al, _dead_letter_cte(),
                           body="SELECT origin, topic, key, error, event_time FROM dl")
     q["event_time"] = _q(body="""SELECT event_id, ingested_at, occurred_at,
         coalesce(make_timestamp(epoch_us(occurred_at) // 1000 * 1000), ingested_at) AS event_time FROM raw""")
@@ -287,12 +317,12 @@ def build() -> dict[str, str]:
         WHERE ip_hash IS NOT NULL AND length(regexp_replace(ip_hash, '\\s', '', 'g')) > 0""")
     q["activity_union"] = _q(_act("valid", DRIVER_RULES, "a"), body="""SELECT rule_type, key, counterparty, event_id,
         transaction_id, amount_minor, currency, occurred_at, ingested_at FROM a""")
-    q["graph_update"] = _q(body=f"""SELECT source_account_id AS key, {EVENT_COLS} FROM valid
-        WHERE regexp_full_match(correlation_id, '{UUID_RE}')""")
+    q["graph_update"] = _q(GUP, body=f"SELECT source_account_id AS key, {EVENT_COLS} FROM gup")
 
     for key, rt in (("fan_out", "FAN_OUT"), ("fan_in", "FAN_IN"), ("shared_device", "SHARED_DEVICE"),
                     ("shared_ip", "SHARED_IP")):
         q[key] = _one_rule(rt)
+    q["rule_streaming"] = _q(*_rule_ctes("valid", STREAM_RULES, "r_"), body=f"SELECT {CAND_COLS} FROM r_cand")
     rc = _rule_ctes("valid", DRIVER_RULES, "r_")
     q["rule_first_crossing"] = _q(*rc, body=f"SELECT {CAND_COLS} FROM r_cand")
     tot = f"""tot AS (SELECT rule_type, key, currency, window_start, window_end, min_d, min_c, min_a, hashed,
@@ -322,7 +352,6 @@ def build() -> dict[str, str]:
           AND c.window_start = u.window_start AND c.currency = u.currency
           AND c.deduplication_key = u.rule_type||'-'||u.key||'-'||u.currency||'-'||CAST(epoch_ms(u.window_start) AS VARCHAR)""")
 
-    al = _alert_ctes("valid", DRIVER_RULES, DRIVER_CYCLE, "f_")
     q["alert_generation"] = _q(*al, body=f"SELECT {ALERT_COLS} FROM f_rev")
     q["alert_union"] = _q(*al, body=f"SELECT {ALERT_COLS} FROM f_aev")
     q["alerts"] = _q(*al, body="SELECT * FROM f_alerts")
@@ -352,7 +381,7 @@ def build() -> dict[str, str]:
     q["ledger_lookup"] = _q(*led, body=f"""SELECT * FROM led WHERE source_account_id = {v3(f"'{LOOKUP_ACCOUNT_NAME}'")}
         AND occurred_at >= TIMESTAMP '{LOOKUP_START}' AND occurred_at < TIMESTAMP '{LOOKUP_END}'""")
 
-    gr = _graph_ctes("valid", "g_")
+    gr = [GUP, *_graph_ctes("gup", "g_")]
     q["graph_processed"] = _q(*gr, body=f"SELECT {EVENT_COLS} FROM g_g1")
     q["graph_accounts"] = _q(*gr, body="""SELECT DISTINCT unnest([source_account_id, destination_account_id])
         AS account_id FROM g_g1""")
@@ -369,8 +398,7 @@ def build() -> dict[str, str]:
                                      body=_paths_out("c_"))
     q["circular_alert"] = _q(*gr, *_cycle_ctes("valid", DRIVER_CYCLE, "g_ver", True, "c_"),
                              body=f"SELECT {ALERT_COLS} FROM c_calert")
-    q["cycle_prefilter"] = _q(*gr, body="""SELECT * FROM g_edges
-        WHERE src IN (SELECT destination_account_id FROM valid) AND dst IN (SELECT source_account_id FROM valid)""")
+    q["cycle_prefilter"] = _q(*gr, *_trim_ctes(DRIVER_CYCLE, TRIM_ROUNDS), body="SELECT * EXCLUDE (bucket, band) FROM trimmed")
 
     mt = _match_ctes()
     q["evaluation_match"] = _q(*mt, body="SELECT * FROM mt")
@@ -394,7 +422,7 @@ def build() -> dict[str, str]:
 
     q["alerts_per_minute"] = _q(*al, body="""SELECT make_timestamp(epoch_us(created_at) // 60000000 * 60000000)
         AS minute, rule_type, count(*) AS alert_count FROM f_alerts GROUP BY 1, 2""")
-    q["dead_letters_per_minute"] = _q(_messages_cte(), *_ledger_ctes(), _dead_letter_cte(), body="""
+    q["dead_letters_per_minute"] = _q(_messages_cte(), *_ledger_ctes(), *al, _dead_letter_cte(), body="""
         SELECT make_timestamp(epoch_us(event_time) // 60000000 * 60000000) AS minute, topic,
         count(*) AS dead_letter_count FROM dl GROUP BY 1, 2""")
     return q

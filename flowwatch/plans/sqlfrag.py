@@ -25,14 +25,15 @@ fx_t AS (SELECT id,
   {v3("'ev-'||CAST(id AS VARCHAR)")} AS event_id,
   CASE WHEN id%107=0 THEN NULL ELSE {v3("'tx-'||CAST(id AS VARCHAR)")} END AS transaction_id,
   CASE WHEN id%97=0 THEN 2 ELSE 1 END AS schema_version,
-  {v3("'co-'||CAST(id AS VARCHAR)")} AS correlation_id,
+  CASE WHEN id%83=0 THEN NULL WHEN id%79=0 THEN 'corr-'||CAST(id AS VARCHAR)
+       ELSE {v3("'co-'||CAST(id AS VARCHAR)")} END AS correlation_id,
   {v3("'acct-'||CAST(u AS VARCHAR)")} AS source_account_id,
   CASE WHEN id%109=0 THEN NULL
        WHEN id%89=0 THEN {v3("'acct-'||CAST(u AS VARCHAR)")}
        ELSE {v3("'acct-'||CAST((u//10)*10 + (u%10 + 1 + k%9)%10 AS VARCHAR)")} END AS destination_account_id,
   CASE WHEN id%103=0 THEN CAST(0 AS BIGINT) ELSE CAST(round(v*100) AS BIGINT) END AS amount_minor,
   CASE WHEN id%101=0 THEN 'usd' WHEN et IN ('purchase','view','click') THEN 'USD' ELSE 'EUR' END AS currency,
-  CASE WHEN et='error' THEN NULL ELSE 'dev-'||CAST(u//10 AS VARCHAR)||'-'||CAST(k%3 AS VARCHAR) END AS device_id,
+  CASE WHEN et='error' THEN NULL WHEN id%61=0 THEN 'dev-'||repeat('x', 260) ELSE 'dev-'||CAST(u//10 AS VARCHAR)||'-'||CAST(k%3 AS VARCHAR) END AS device_id,
   CASE WHEN k%10=0 THEN '' ELSE 'ip-'||CAST(u//5 AS VARCHAR) END AS ip_hash,
   CASE WHEN id%113=0 THEN NULL ELSE ts END AS occurred_at,
   ts + to_seconds((k*37)%1200) AS ingested_at
@@ -46,9 +47,18 @@ raw AS (
   UNION ALL
   SELECT {v3("'ev2-'||CAST(id AS VARCHAR)")}, transaction_id, schema_version, correlation_id, source_account_id,
          destination_account_id, amount_minor, currency, device_id, ip_hash, occurred_at,
-         ingested_at + INTERVAL 2 HOUR FROM fx_t WHERE id%75=0)"""
+         ingested_at + INTERVAL 2 HOUR FROM fx_t WHERE id%75=0
+  UNION ALL
+  SELECT event_id, {v3("'tx3-'||CAST(id AS VARCHAR)")}, schema_version, correlation_id, source_account_id,
+         destination_account_id, amount_minor, currency, device_id, ip_hash, occurred_at,
+         ingested_at + INTERVAL 3 HOUR FROM fx_t WHERE id%131=0
+  UNION ALL
+  SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM fx_t WHERE id%127=0)"""
 
 REASON = """CASE
+  WHEN coalesce(event_id, transaction_id, correlation_id, source_account_id, destination_account_id, currency, device_id, ip_hash,
+                CAST(schema_version AS VARCHAR), CAST(amount_minor AS VARCHAR), CAST(occurred_at AS VARCHAR),
+                CAST(ingested_at AS VARCHAR)) IS NULL THEN 'Event is null'
   WHEN event_id IS NULL OR transaction_id IS NULL THEN 'Missing IDs'
   WHEN source_account_id IS NULL OR destination_account_id IS NULL THEN 'Missing account IDs'
   WHEN source_account_id = destination_account_id THEN 'Source equals destination'

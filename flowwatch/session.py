@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session settings the operators assume.  UTC because every instant in the data
 # model is an epoch instant; AQE so that skewed joins are split at run time and
@@ -39,6 +42,7 @@ def build_session(master: str | None = None, app: str = "flowwatch",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": str(shuffle_partitions or 8),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": os.environ.get("FLOWWATCH_DRIVER_MEMORY", "16g"),
     })
     conf.update(extra or {})
@@ -61,5 +65,42 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="flowwatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    sc = spark.sparkContext
+    if getattr(sc, "_flowwatch_checkpoints", None) != configured:      # each call would make another folder
+        sc.setCheckpointDir(configured)
+        made = spark._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
+        sc._flowwatch_checkpoints = configured
     return configured
+
+
+_open_scopes = threading.local()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read back: what several branches of a plan read is computed once,
+    a lost executor recomputes from the files, and readers prune columns.  The files go with the enclosing ``scratch``, or
+    when the driver's JVM ends."""
+    spark = df.sparkSession
+    at = f"{checkpoint_dir(spark).rstrip('/')}/kept/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(path)
+    for scope in getattr(_open_scopes, "stack", [])[-1:]:
+        scope.append((fs, path))
+    return spark.read.schema(df.schema).parquet(at)
+
+
+@contextmanager
+def scratch():
+    """What this thread keeps inside is deleted at the end: for jobs that write their result before it, such as micro-batches."""
+    if not hasattr(_open_scopes, "stack"):
+        _open_scopes.stack = []
+    _open_scopes.stack.append([])
+    try:
+        yield
+    finally:
+        for fs, path in _open_scopes.stack.pop():
+            fs.delete(path, True)
+            fs.cancelDeleteOnExit(path)

@@ -34,7 +34,7 @@ def _code_digest() -> str:
 RECIPE_VERSION = _code_digest()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -55,7 +55,7 @@ def _input_mark(spark: SparkSession, source: str, tables: tuple[str, ...]) -> st
 
 
 def staged(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame],
-           tables: tuple[str, ...] = ("events",)) -> DataFrame:
+           tables: tuple[str, ...] = ("events",), partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Read the staged table ``name`` derived from ``tables`` of ``source``; build it once per state of the input.
 
     It is written under a name of its own and renamed when complete, so jobs that build it at the same time do not mix
@@ -64,12 +64,13 @@ def staged(spark: SparkSession, name: str, source: str, build: Callable[[], Data
     key = hashlib.sha1(f"{name}|{_input_mark(spark, source, tables)}|{RECIPE_VERSION}".encode()).hexdigest()[:16]
     folder = f"{checkpoint_dir(spark).rstrip('/')}/staged"
     path = f"{folder}/{name}-{key}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    if not exists(spark, f"{path}/_SUCCESS"):
         jvm = spark.sparkContext._jvm
         own = f"{folder}/.{name}-{key}-{uuid.uuid4().hex[:8]}"
-        build().write.parquet(own)
+        writer = build().write
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(own)
         here, there = jvm.org.apache.hadoop.fs.Path(own), jvm.org.apache.hadoop.fs.Path(path)
         fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if _exists(spark, f"{path}/_SUCCESS") or not fs.rename(here, there):
+        if exists(spark, f"{path}/_SUCCESS") or not fs.rename(here, there):
             fs.delete(here, True)                     # another job finished first
     return spark.read.parquet(path)

@@ -41,7 +41,8 @@ def base_transactions(events: DataFrame) -> DataFrame:
         _v3("ev-", id_).alias("event_id"),
         F.when(id_ % 107 == 0, F.lit(None).cast("string")).otherwise(_v3("tx-", id_)).alias("transaction_id"),
         F.when(id_ % 97 == 0, F.lit(2)).otherwise(F.lit(1)).alias("schema_version"),
-        _v3("co-", id_).alias("correlation_id"),
+        F.when(id_ % 83 == 0, F.lit(None).cast("string")).when(id_ % 79 == 0, F.concat(F.lit("corr-"), id_.cast("string")))
+         .otherwise(_v3("co-", id_)).alias("correlation_id"),
         _v3("acct-", u).alias("source_account_id"),
         F.when(id_ % 109 == 0, F.lit(None).cast("string"))
          .when(id_ % 89 == 0, _v3("acct-", u))
@@ -52,6 +53,7 @@ def base_transactions(events: DataFrame) -> DataFrame:
          .when(et.isin("purchase", "view", "click"), F.lit("USD"))
          .otherwise(F.lit("EUR")).alias("currency"),
         F.when(et == "error", F.lit(None).cast("string"))
+         .when(id_ % 61 == 0, F.concat(F.lit("dev-"), F.repeat(F.lit("x"), F.lit(260))))
          .otherwise(F.concat(F.lit("dev-"), F.floor(u / 10).cast("string"), F.lit("-"),
                              F.pmod(k, 3).cast("string"))).alias("device_id"),
         F.when(F.pmod(k, 10) == 0, F.lit(""))
@@ -63,7 +65,8 @@ def base_transactions(events: DataFrame) -> DataFrame:
 
 def transaction_events(events: DataFrame) -> DataFrame:
     """Raw ``transaction_event`` stream: base rows, replays (same event id one
-    hour later) and conflicts (new event id, same transaction, two hours later)."""
+    hour later), conflicts (new event id, same transaction, two hours later), event ids used again for another transaction three
+    hours later, and null events."""
     base = base_transactions(events)
     hour = F.lit(3_600_000_000).cast("long")
     replays = base.where(F.col("id") % 50 == 0).withColumn(
@@ -71,7 +74,11 @@ def transaction_events(events: DataFrame) -> DataFrame:
     conflicts = base.where(F.col("id") % 75 == 0).withColumn(
         "event_id", _v3("ev2-", F.col("id"))).withColumn(
         "ingested_at", shift_micros(F.col("ingested_at"), hour * 2))
-    return base.unionByName(replays).unionByName(conflicts).select(*EVENT_COLUMNS)
+    reused = base.where(F.col("id") % 131 == 0).withColumn("transaction_id", _v3("tx3-", F.col("id"))).withColumn(
+        "ingested_at", shift_micros(F.col("ingested_at"), hour * 3))
+    rows = base.unionByName(replays).unionByName(conflicts).unionByName(reused).select(*EVENT_COLUMNS)
+    nothing = base.where(F.col("id") % 127 == 0).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in EVENT_COLUMNS])
+    return rows.unionByName(nothing)
 
 
 def load_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,147 +1,83 @@
-"""The first-crossing rule on a stream, and M3 run counters.
-
-Per group ``(window, key, currency)`` the state is small: an emitted flag, and
--- only until the rule fires -- the distinct counterparties (fewer than the
-threshold), the transaction ids, count and sum.  After the candidate is
-emitted the state shrinks to the flag; an event-time timeout at the window end
-removes it once the watermark passes.  Late rows are dropped by Spark with the
-reference's inequality ``window_end + grace <= max event time``: the window
-column derived from the watermarked ``occurred_at`` carries the event-time
-marker, so the late-row filter compares window ends.
-
-Rows of one micro-batch are folded in arrival order ``(ingested_at,
-event_id)``.  Stream == batch holds when rows reach the stream in arrival
-order and none is late (tested).
+"""The first-crossing rule on a stream, without Python.
+
+``groupBy(window, key, currency)`` keeps the arrivals of a group (evidence needs them until the rule fires, as in the
+reference's window store).  Whenever a group changes, its arrivals are sorted by ``(ingested_at, event_id)``
+and folded by ``aggregate()`` up to the first one that meets all thresholds; a group that has met them is sent again
+unchanged by later rows, and the sink's first-wins key (S6) makes it one candidate.  The watermark
+on ``occurred_at`` lags by the grace; Spark drops rows whose window has closed and the state of closed windows.
+
+Stream == batch holds when rows reach the stream in arrival order and none is late (tested).
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from flowwatch.config import RuleConfig
-from flowwatch.functions import epoch_millis, name_uuid
 from flowwatch.operators.activity import activity
+from flowwatch.operators.rules import CANDIDATE_OUT, identity
+
+_FOUND = "struct<accounts:array<string>,n:bigint,amount:bigint,hit:struct<ts:timestamp,id:string>>"
+
+
+def _first_crossing(arrivals: Column, cfg: RuleConfig) -> Column:
+    """Accounts, number and amount of the arrivals up to the first that meets the thresholds; ``hit`` is null if none does."""
+    start = F.struct(F.array().cast("array<string>").alias("accounts"), F.lit(0).cast("bigint").alias("n"),
+                     F.lit(0).cast("bigint").alias("amount"), F.lit(None).cast("struct<ts:timestamp,id:string>").alias("hit"))
+
+    def step(held: Column, row: Column) -> Column:
+        accounts = F.array_union(held["accounts"], F.array(row["counterparty"]))
+        n, amount = held["n"] + 1, held["amount"] + row["amount_minor"]
+        meets = F.size(accounts) >= cfg.min_distinct
+        if cfg.min_count > 0:
+            meets = meets & (n >= cfg.min_count)
+        if cfg.min_amount > 0:
+            meets = meets & (amount >= cfg.min_amount)
+        moved = F.struct(accounts.alias("accounts"), n.alias("n"), amount.alias("amount"), F.when(meets, row["arr"]).alias("hit"))
+        return F.when(held["hit"].isNotNull(), held).otherwise(moved).cast(_FOUND)
 
-_STATE = T.StructType([
-    T.StructField("emitted", T.BooleanType()),
-    T.StructField("accounts", T.ArrayType(T.StringType())),
-    T.StructField("transactions", T.ArrayType(T.StringType())),
-    T.StructField("count", T.LongType()),
-    T.StructField("amount", T.LongType()),
-])
-
-_OUT = T.StructType([
-    T.StructField("rule_type", T.StringType()),
-    T.StructField("key", T.StringType()),
-    T.StructField("currency", T.StringType()),
-    T.StructField("window_start", T.TimestampType()),
-    T.StructField("window_end", T.TimestampType()),
-    T.StructField("distinct_accounts_count", T.IntegerType()),
-    T.StructField("transaction_count", T.LongType()),
-    T.StructField("total_amount_minor", T.LongType()),
-    T.StructField("involved_accounts", T.ArrayType(T.StringType())),
-    T.StructField("transaction_ids", T.ArrayType(T.StringType())),
-    T.StructField("generated_at", T.TimestampType()),
-    T.StructField("trigger_event_id", T.StringType()),
-])
-
-
-def _folder(cfg: RuleConfig):
-    d, c, a = cfg.min_distinct, cfg.min_count, cfg.min_amount
-
-    def fold(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ingested_at", "event_id"])
-        end_ms = int(pd.Timestamp(rows["window_end"].iloc[0]).timestamp() * 1000)
-        watermark = state.getCurrentWatermarkMs()
-        if watermark is not None and watermark > 0 and end_ms <= watermark:
-            return                      # window closed: late rows change nothing (Kafka grace semantics)
-        if state.exists:
-            emitted, accounts, txs, count, amount = state.get
-            accounts, txs = set(accounts or []), set(txs or [])
-        else:
-            emitted, accounts, txs, count, amount = False, set(), set(), 0, 0
-        out = []
-        if not emitted:
-            for r in rows.itertuples(index=False):
-                accounts.add(r.counterparty)
-                txs.add(r.transaction_id)
-                count += 1
-                amount += int(r.amount_minor)
-                if len(accounts) >= d and (c <= 0 or count >= c) and (a <= 0 or amount >= a):
-                    emitted = True
-                    out.append((cfg.rule_type, r.key, r.currency, r.window_start, r.window_end,
-                                len(accounts), count, amount, sorted(accounts), sorted(txs),
-                                r.ingested_at, r.event_id))
-                    break
-        if emitted:
-            state.update((True, [], [], 0, 0))
-        else:
-            state.update((False, sorted(accounts), sorted(txs), count, amount))
-        state.setTimeoutTimestamp(end_ms)
-        if out:
-            yield pd.DataFrame(out, columns=_OUT.fieldNames())
-
-    return fold
+    return F.aggregate(arrivals, start.cast(_FOUND), step)
 
 
 def stream_candidates(events: DataFrame, cfg: RuleConfig) -> DataFrame:
-    """Fraud candidates of one rule from a stream of validated events.
+    """Fraud candidates of one rule from a stream of validated events (update mode).
 
     ``events`` must carry TIMESTAMP (not TIMESTAMP_NTZ) ``occurred_at`` and
     ``ingested_at``; the output has the candidate columns of the batch operator.
     """
-    rows = (activity(events, (cfg,))
-            .withWatermark("occurred_at", f"{cfg.grace_seconds} seconds")
-            .withColumn("w", F.window("occurred_at", f"{cfg.window_seconds} seconds"))
-            .select("w", "rule_type", "key", "counterparty", "event_id", "transaction_id", "amount_minor",
-                    "currency", (F.col("occurred_at") + F.expr("INTERVAL 0 SECONDS")).alias("occ"),
-                    "ingested_at",
-                    F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")))
-    found = rows.groupBy("w", "key", "currency").applyInPandasWithState(
-        _folder(cfg), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    dk = F.format_string("%s-%s-%s-%d", F.col("rule_type"), F.col("key"), F.col("currency"),
-                         epoch_millis(F.col("window_start")))
-    primary = name_uuid(F.col("key")) if cfg.hashed_primary else F.col("key")
-    return (found.withColumn("deduplication_key", dk)
-            .withColumn("candidate_id", name_uuid(F.col("deduplication_key")))
-            .withColumn("primary_account_id", primary)
-            .select("candidate_id", "deduplication_key", "rule_type", "primary_account_id", "window_start",
-                    "window_end", "distinct_accounts_count", "transaction_count", "total_amount_minor",
-                    "currency", "involved_accounts", "transaction_ids", "generated_at", "trigger_event_id"))
-
-
-def with_run_counters(alert_events: DataFrame, canonical_ids: DataFrame | None = None,
-                      name: str = "run_counters") -> DataFrame:
-    """M3: attach observed counters (alert events per rule status) to a plan;
-    read them from ``query.lastProgress['observedMetrics']`` or an
-    ``Observation`` in batch."""
-    return alert_events.observe(
-        name,
-        F.count(F.lit(1)).alias("alert_events"),
-        F.count_if(F.col("rule_type").isNull() | F.col("primary_account_id").isNull()).alias("rejected"),
-        F.count_if(F.col("rule_type") == "CIRCULAR_FLOW").alias("cycle_alert_events"))
+    row = F.struct(F.struct(F.col("ingested_at").alias("ts"), F.col("event_id").alias("id")).alias("arr"),
+                   "counterparty", "transaction_id", "amount_minor")
+    groups = (activity(events, (cfg,))
+              .withWatermark("occurred_at", f"{cfg.grace_seconds} seconds")
+              .groupBy(F.window("occurred_at", f"{cfg.window_seconds} seconds").alias("w"), "rule_type", "key", "currency")
+              .agg(F.collect_list(row).alias("arrivals")))
+    found = (groups.withColumn("arrivals", F.array_sort("arrivals"))
+             .withColumn("found", _first_crossing(F.col("arrivals"), cfg)).where(F.col("found.hit").isNotNull()))
+    upto = F.filter("arrivals", lambda r: r["arr"] <= F.col("found.hit"))
+    flat = found.select(
+        "rule_type", "key", "currency", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+        F.size("found.accounts").alias("distinct_accounts_count"), F.col("found.n").alias("transaction_count"),
+        F.col("found.amount").alias("total_amount_minor"), F.array_sort("found.accounts").alias("involved_accounts"),
+        F.array_sort(F.array_distinct(F.transform(upto, lambda r: r["transaction_id"]))).alias("transaction_ids"),
+        F.col("found.hit.ts").alias("generated_at"), F.col("found.hit.id").alias("trigger_event_id"))
+    return identity(flat, (cfg,)).select(*CANDIDATE_OUT)
 
 
 def start_rule_streams(events: DataFrame, rules, checkpoint_root: str, sink_for, trigger: dict | None = None):
     """Start one streaming query per rule over the same source.
 
-    Spark allows one ``applyInPandasWithState`` per query, so the four rules
+    Update mode allows one aggregation per query, so the four rules
     run as four queries (as the reference runs four topologies); each gets its
     own checkpoint and a ``foreachBatch`` sink from ``sink_for(rule_config)``
     -- typically an :class:`~flowwatch.streaming.sinks.IdempotentSink` keyed on
     ``deduplication_key``.
     """
-    import os
     queries = []
     for cfg in rules:
-        writer = (stream_candidates(events, cfg).writeStream.foreachBatch(sink_for(cfg))
+        writer = (stream_candidates(events, cfg).writeStream.outputMode("update").foreachBatch(sink_for(cfg))
                   .option("checkpointLocation", os.path.join(checkpoint_root, cfg.rule_type.lower()))
                   .queryName(f"rule_{cfg.rule_type.lower()}"))
         if trigger:

@@ -15,7 +15,9 @@ T0 = dt.datetime(2026, 1, 1, 10, 0, 0)
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[4]", app="flowwatch-tests", shuffle_partitions=8,
-                      extra={"spark.driver.memory": "8g"})
+                      extra={"spark.driver.memory": "8g",
+                             # tiny tables, many plans: compiling them would take most of the time
+                             "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
     checkpoint_dir(s)
     yield s
     s.stop()

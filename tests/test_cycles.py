@@ -1,4 +1,6 @@
 from conftest import acct, event
+from pyspark.sql import functions as F
+
 from flowwatch.config import CycleConfig
 from flowwatch.operators import cycles
 
@@ -8,7 +10,7 @@ CFG = CycleConfig(4, 86400, 10)
 
 def paths(events, rows, cfg=CFG, snapshot=False):
     fn = cycles.circular_flow_snapshot if snapshot else cycles.circular_flow
-    return fn(events(rows), cfg).collect()
+    return fn(events(rows), cfg, prefilter_edges=False).collect()
 
 
 def closing(rows, p):
@@ -72,10 +74,65 @@ def test_prefilter_keeps_cycle_edges(events):
             event("ad", A, D, at=0)]
     from flowwatch.operators import graph
     ev = events(rows)
-    kept = {(r.src, r.dst) for r in cycles.prefilter(graph.edges(graph.processed(ev)), ev).collect()}
+    kept = {(r.src, r.dst) for r in cycles.prefilter(graph.edges(graph.processed(ev)), ev, CFG).collect()}
     assert kept == {(A, B), (B, C), (C, A)}
 
 
+def test_trimming_goes_on_to_a_fixed_point(events):
+    """A long dead-end chain vanishes from both its ends, with the candidates on it; edges out of time or amount do too."""
+    from flowwatch.operators import graph
+    A, B = acct("A"), acct("B")
+    chain = [acct(f"K{i}") for i in range(14)]
+    rows = [event(f"k{i}", chain[i], chain[i + 1], at=i) for i in range(13)]
+    rows += [event("in", A, chain[0], at=-1), event("ab", A, B, at=0), event("ba", B, A, at=5)]
+    rows += [event("far", B, A, currency="EUR", amount=10 ** 6, at=6), event("old", A, B, currency="EUR", at=-40 * 86400)]
+    ev = events(rows)
+    edges = graph.edges(graph.processed(ev))
+    cands = cycles.cycle_candidates(ev, CFG)
+    kept, left = cycles.trim(edges, cands, CFG, max_rounds=20)
+    assert {(r.src, r.dst, r.currency) for r in kept.collect()} == {(A, B, "USD"), (B, A, "USD")}
+    assert {r.cand_event_id for r in left.collect()} <= {"ab", "ba"}
+    once = cycles.trim(edges, cands, CFG, max_rounds=1)[0].count()
+    assert 2 < once < edges.count()
+
+
+def test_lighter_end_is_extended(events):
+    """A hub with many payees: the search from a payer's side makes no pair of payer and payee."""
+    hub, n = acct("HUB"), 60
+    rows = [event(f"i{k}", acct(f"I{k}"), hub, at=k) for k in range(n)]
+    rows += [event(f"o{k}", hub, acct(f"O{k}"), at=100 + k) for k in range(n)]
+    rows += [event(f"b{k}", acct(f"O{k}"), acct(f"I{k}"), at=200 + k) for k in range(0, n, 10)]
+    rows += [event(f"c{k}", acct(f"I{k}"), hub, at=300 + k, currency="EUR") for k in range(0, n, 10)]
+    from flowwatch.operators import graph
+    ev = events(rows)
+    versions = graph.edge_versions(graph.processed(ev))
+    edges, out, into = cycles.with_degrees(cycles.edge_view(versions, CFG, True))
+    frontier = cycles._open_ends(cycles.cycle_candidates(ev, CFG), out, into)
+    assert cycles._grown(frontier, edges, CFG, True).count() < 10 * n
+    found = paths(events, rows)
+    assert {(r.cand_event_id, r.depth) for r in found} == {(f"c{k}", 2) for k in range(0, n, 10)}
+
+
+def test_busy_edge_meets_versions_of_its_time_only(events):
+    """One edge with a version per second: a candidate meets the few that were valid around its arrival."""
+    from flowwatch.operators import graph
+    A, B = acct("A"), acct("B")
+    cfg = CycleConfig(3, 86400, 50)
+    rows = [event(f"v{k:05d}", A, B, amount=1, at=k) for k in range(4000)]
+    rows += [event(f"z{k}", B, A, amount=500 * k, at=500 * k + 0.5) for k in range(1, 8)]
+    ev = events(rows)
+    versions = graph.edge_versions(graph.processed(ev))
+    edges, out, into = cycles.with_degrees(cycles.edge_view(versions, cfg, True))
+    frontier = cycles._open_ends(cycles.cycle_candidates(ev, cfg).where("cand_event_id like 'z%'"), out, into)
+    met = (frontier.withColumn("_l", F.explode("tail_levels"))
+           .withColumn("_s", F.when(F.col("_l") == 0, F.lit(0).cast("long")).otherwise(
+               F.floor(F.unix_micros(F.col("arr.ts")) / cycles._slot_width("_l")))).alias("f")
+           .join(edges, (F.col("tail") == F.col("e_src")) & (F.col("_l") == F.col("e_level")) & (F.col("_s") == F.col("e_slot"))))
+    assert met.count() <= 7 * 4                               # of 4000 versions
+    got = {(r.cand_event_id, tuple(r.path_transactions)) for r in paths(events, rows, cfg) if r.cand_event_id.startswith("z")}
+    assert got == {(f"z{k}", (f"tx-v{500 * k:05d}",)) for k in range(1, 8)}
+
+
 def test_hub_meets_only_edges_of_its_amounts(events):
     """Payments into and out of a hub lie in different amount bands: the join makes no pairs."""
     hub = acct("HUB")

@@ -8,7 +8,7 @@ from flowwatch.operators import graph, normalise, rules
 from flowwatch.sources.tables import load_transactions
 from flowwatch.streaming.io import read_stream
 from flowwatch.streaming.rules import stream_candidates
-from flowwatch.streaming.sinks import EdgeDeltaSink, IdempotentSink
+from flowwatch.streaming.sinks import GraphSink, IdempotentSink
 
 SF = "/root/testdata/sf0.001"
 # grace wider than the fixture's replay delay (2 h + 20 min), so no row is late
@@ -49,7 +49,7 @@ def test_stream_equals_batch_and_sink_is_idempotent(spark):
             if f.endswith(".parquet"):
                 os.link(os.path.join(p, f), os.path.join(stream_dir, f"b{i:02d}-{f}"))
         src = read_stream(spark, "parquet", schema, stream_dir)
-        q = (stream_candidates(src, CFG).writeStream.foreachBatch(sink)
+        q = (stream_candidates(src, CFG).writeStream.outputMode("update").foreachBatch(sink)
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
         q.awaitTermination()
     got = {(r.deduplication_key, r.trigger_event_id, r.distinct_accounts_count, r.transaction_count,
@@ -62,18 +62,97 @@ def test_stream_equals_batch_and_sink_is_idempotent(spark):
     assert sink.read(spark).count() == before
 
 
-def test_edge_delta_sink_equals_batch_graph(spark):
-    valid = _valid_ts(spark)
+def test_graph_and_cycles_equal_batch(spark):
+    """Five micro-batches, the last one retried: nodes and edges (G2-G5) and cycle alerts (C3) equal the batch operators."""
+    from flowwatch.config import DRIVER_CYCLE
+    from flowwatch.operators import activity, alerts
+    from flowwatch.plans import jobs
+    from flowwatch.streaming.sinks import AlertSink, CycleSink
+    valid = _valid_ts(spark).persist()
     root = tempfile.mkdtemp(prefix="fw-graph-", dir="/tmp")
-    sink = EdgeDeltaSink(root)
-    ordered = valid.withColumn("_b", F.ntile(3).over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("ingested_at", "event_id")))
-    for b in (1, 2, 3):
-        sink(ordered.where(F.col("_b") == b).drop("_b"), b)
-    sink(ordered.where(F.col("_b") == 2).drop("_b"), 2)       # a retried batch rewrites itself
-    got = sorted(tuple(r) for r in sink.edges(spark).collect())
-    want = sorted(tuple(r) for r in graph.edges(graph.processed(valid)).collect())
-    assert got == want
+    sink = GraphSink(os.path.join(root, "graph"), buckets=4)
+    found = AlertSink(os.path.join(root, "alerts"), buckets=2)
+    cycle_sink = CycleSink(sink, found, DRIVER_CYCLE)
+    ordered = _in_batches(valid, 5).persist()
+    for b in (1, 2, 3, 4, 5, 5):
+        batch = ordered.where(F.col("_b") == b).drop("_b")
+        cycle_sink(batch, b)
+        sink(batch, b)
+    sink(ordered.where(F.col("_b") == 2).drop("_b"), 2)       # a batch that others have built upon changes nothing
+    applied = graph.processed(activity.graph_updates(valid).drop("key"))
+    for got, want in ((sink.edges(spark), graph.edges(applied)), (sink.read(spark, "accounts"), graph.accounts(applied)),
+                      (sink.read(spark, "used_device"), graph.used_device(applied)), (sink.read(spark, "used_ip"), graph.used_ip(applied))):
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    per_bucket = [len(v) for v in sink.edge_table.segments(spark).values()]
+    assert max(per_bucket) <= 2                               # the last version and the one its replay starts from
+    want = alerts.canonical(jobs.cycle_alerts(valid, DRIVER_CYCLE))
+    got = sorted(map(tuple, found.read_alerts(spark).collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 5
+
+
+def test_history_does_not_add_files_to_a_batch(spark):
+    """S6 over 30 batches: a batch opens a bounded number of files, compaction loses nothing, and a replayed batch is exact."""
+    root = tempfile.mkdtemp(prefix="fw-keyed-", dir="/tmp")
+    sink = IdempotentSink(os.path.join(root, "t"), ["k"], buckets=2, compact_after=4)
+    rows = lambda b: spark.createDataFrame([(f"{b}-{i}" if i % 2 else f"{b // 2}-{i}", b) for i in range(6)], "k string, b int")
+    opened, created = [], 0
+    for b in range(14):
+        created += sink(rows(b), b)
+        opened.append(len(sink.table.paths(spark)))
+    assert max(opened) <= 2 * (4 + 2) and max(opened[7:]) <= max(opened[:7])
+    want = {}
+    for b in range(14):
+        for r in rows(b).collect():
+            want.setdefault(r.k, b)
+    first = sorted((r.k, r.batch_id) for r in sink.read(spark).collect())
+    assert first == sorted(want.items()) and created == len(want)
+    sink(rows(13), 13)                                        # the last batch again
+    sink(rows(5), 5)                                          # one that has been compacted
+    sink(rows(3), 99)                                         # old rows as a new batch
+    assert sorted((r.k, r.batch_id) for r in sink.read(spark).collect()) == first
+
+
+def test_counters_follow_the_alerts(spark):
+    """M3: created, duplicate and dead as A5 and S3 count them; a retried batch counts once."""
+    from flowwatch.operators import alerts
+    from flowwatch.streaming.sinks import AlertSink
+    columns = ("alert_id string, deduplication_key string, rule_type string, primary_account_id string, status string, "
+               "involved_accounts array<string>, transaction_ids array<string>, generated_at timestamp, trigger_event_id string")
+    import datetime as dt
+    at = lambda k: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=k)
+    rows = [(f"a{k}", f"key{k % 4}" if k % 5 else "k" * 300, "FAN_OUT", "p", "OPEN", [f"x{k}"], [f"t{k}"], at(k), f"e{k:02d}") for k in range(20)]
+    df = spark.createDataFrame(rows, columns)
+    sink = AlertSink(tempfile.mkdtemp(prefix="fw-m3-", dir="/tmp"), buckets=2)
+    for b, (lo, hi) in enumerate(((0, 9), (9, 20), (9, 20))):
+        sink(df.where(F.col("generated_at").between(F.lit(at(lo)), F.lit(at(hi - 1)))), min(b, 1))
+    stats = alerts.dedup_stats(df).collect()[0]
+    assert sink.counters.totals() == {"created": stats.created, "duplicate": stats.duplicates, "dead": alerts.rejected(df).count()}
+    assert spark.read.parquet(sink.dead_path).count() == alerts.rejected(df).count() == 4
+
+
+def test_messages_survive_the_round_trip(spark):
+    """Events written as keyed messages by a stream, read back by another and decoded."""
+    from flowwatch.schemas import EVENT_COLUMNS
+    from flowwatch.sources.intake import json_decode
+    from flowwatch.streaming.io import as_messages, write_stream
+    root = tempfile.mkdtemp(prefix="fw-io-", dir="/tmp")
+    events = _valid_ts(spark).limit(300)
+    events.write.parquet(os.path.join(root, "events"))
+    source = read_stream(spark, "parquet", events.schema, os.path.join(root, "events"))
+    write_stream(as_messages(source), "json", os.path.join(root, "ckpt"), os.path.join(root, "topic"),
+                 trigger={"availableNow": True}).awaitTermination()
+    topic = spark.read.schema("key string, value string").json(os.path.join(root, "topic"))
+    assert topic.where("key is null").count() == 0
+    back = json_decode(topic, ts_type="timestamp")
+    assert back.where("decode_error is not null").count() == 0
+    stored = spark.read.parquet(os.path.join(root, "events"))
+    assert sorted(map(tuple, back.select(EVENT_COLUMNS).collect()), key=repr) == sorted(map(tuple, stored.select(EVENT_COLUMNS).collect()), key=repr)
+
+
+def test_streaming_rule_has_no_python(spark):
+    valid = _valid_ts(spark)
+    plan = stream_candidates(valid, CFG)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def test_rule_streams_one_query_per_rule(spark):
@@ -109,11 +188,13 @@ def test_ledger_sink_equals_batch_ledger(spark):
         sink(parts.where(F.col("_b") == b).drop("_b"), b)
     sink(parts.where(F.col("_b") == 3).drop("_b"), 3)           # retried batch
     cols = ledger.LEDGER_COLUMNS
-    got = sorted(tuple(r) for r in sink.table.read(spark).select(*cols).collect())
+    got = sorted(tuple(r) for r in sink.read(spark).select(*cols).collect())
     want = sorted(tuple(r) for r in ledger.ledger(valid).select(*cols).collect())
     assert got == want
-    dead = spark.read.parquet(sink.dead_path)
-    assert dead.count() == ledger.conflicts(valid).count() > 0
+    refused = sorted(tuple(r) for r in sink.rejects(spark).collect())
+    assert refused == sorted(tuple(r) for r in ledger.constraint_rejects(valid).collect()) and len(refused) > 10
+    dead = spark.read.parquet(sink.dead_path).count()
+    assert dead == ledger.conflicts(valid).count() + len(refused) == sink.counters.totals()["dead"]
 
 
 def test_alert_sink_equals_batch_projection(spark):
@@ -165,7 +246,7 @@ def test_streams_from_raw_messages(spark):
     batch_rows = decoded_events(spark.read.schema(schema).json(src_dir))
     valid = batch_rows.where("failure_reason IS NULL").select(*__import__("flowwatch.schemas", fromlist=["x"]).EVENT_COLUMNS)
     cols = ledger.LEDGER_COLUMNS
-    got = sorted(tuple(r) for r in route.ledger.table.read(spark).select(*cols).collect())
+    got = sorted(tuple(r) for r in route.ledger.read(spark).select(*cols).collect())
     assert got == sorted(tuple(r) for r in ledger.ledger(valid).select(*cols).collect())
     want_alerts = alerts.canonical(alerts.from_candidates(rules.candidates(valid, cfgs)))
     got_alerts = alert_sinks[CFG.rule_type].read_alerts(spark)
@@ -193,7 +274,7 @@ def test_stream_drops_windows_closed_by_the_watermark(spark):
             if f.endswith(".parquet"):
                 os.link(os.path.join(root, f"b{n}", f), os.path.join(src_dir, f"b{n}-{f}"))
         src = read_stream(spark, "parquet", TRANSACTION_EVENT, src_dir)
-        q = (stream_candidates(src, cfg).writeStream.foreachBatch(lambda b, i: out.extend(b.collect()))
+        q = (stream_candidates(src, cfg).writeStream.outputMode("update").foreachBatch(lambda b, i: out.extend(b.collect()))
              .option("checkpointLocation", os.path.join(root, "ckpt")).trigger(availableNow=True).start())
         q.awaitTermination()
     assert [r.primary_account_id for r in out] == [acct("B")]
