@@ -6,8 +6,6 @@ input exactly; no shuffle is involved.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,12 +45,12 @@ def failure_reason(null_event: Column | None = None) -> Column:
             .when(c("occurred_at").isNull() | c("ingested_at").isNull(), F.lit(MISSING_TIMESTAMPS)))
 
 
-def classify(raw: DataFrame, null_event: str | None = None) -> DataFrame:
+def classify(raw: DataFrame, null_event: str = "null_event") -> DataFrame:
     """Raw events plus ``failure_reason`` (null = valid).
 
-    ``null_event`` names a column that marks null events; without it a row all of whose columns are null is one.
+    ``null_event`` names the column that marks null events (messages without an event), as decoding sets it.
     """
-    flag = F.col(null_event) if null_event else reduce(lambda a, b: a & b, [F.col(c).isNull() for c in EVENT_COLUMNS])
+    flag = F.col(null_event) if null_event in raw.columns else None
     return raw.withColumn("failure_reason", failure_reason(flag))
 
 

@@ -78,7 +78,7 @@ def transaction_events(events: DataFrame) -> DataFrame:
         "ingested_at", shift_micros(F.col("ingested_at"), hour * 3))
     rows = base.unionByName(replays).unionByName(conflicts).unionByName(reused).select(*EVENT_COLUMNS)
     nothing = base.where(F.col("id") % 127 == 0).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in EVENT_COLUMNS])
-    return rows.unionByName(nothing)
+    return rows.withColumn("null_event", F.lit(False)).unionByName(nothing.withColumn("null_event", F.lit(True)))
 
 
 def load_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,14 @@ def read_stream(spark: SparkSession, fmt: str, schema: StructType | None = None,
     return reader.load(path) if path else reader.load()
 
 
+#: Instants keep their microseconds, in UTC.
+_WIRE = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timeZone": "UTC"}
+
+
 def as_messages(events: DataFrame, key_col: str = "source_account_id") -> DataFrame:
     """Events as ``(key, value)`` JSON messages for a topic sink."""
     return events.select(F.col(key_col).cast("string").alias("key"),
-                         F.to_json(F.struct(*events.columns)).alias("value"))
+                         F.to_json(F.struct(*events.columns), _WIRE).alias("value"))
 
 
 def write_stream(df: DataFrame, fmt: str, checkpoint: str, path: str | None = None,

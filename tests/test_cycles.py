@@ -110,7 +110,7 @@ def test_lighter_end_is_extended(events):
     frontier = cycles._open_ends(cycles.cycle_candidates(ev, CFG), out, into)
     assert cycles._grown(frontier, edges, CFG, True).count() < 10 * n
     found = paths(events, rows)
-    assert {(r.cand_event_id, r.depth) for r in found} == {(f"c{k}", 2) for k in range(0, n, 10)}
+    assert {(r.cand_event_id, r.depth) for r in found} == {(f"{c}{k}", 2) for c in "bc" for k in range(0, n, 10)}
 
 
 def test_busy_edge_meets_versions_of_its_time_only(events):

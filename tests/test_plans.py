@@ -71,7 +71,7 @@ def test_no_unpartitioned_window_over_rows(spark):
 
 
 def test_cycle_hops_join_on_account_time_band_and_arrival_slot(spark):
-    p = formatted(cycles.circular_flow(_valid(spark), DRIVER_CYCLE, prefilter_edges=False))
+    p = formatted(cycles.circular_flow(_valid(spark), DRIVER_CYCLE, prefilter_edges=False, materialize=False))
     joins = re.findall(r"Left keys \[\d+\]: \[(.*?)\]", p)
     hop_joins = [j for j in joins if "tail" in j or "head" in j]
     assert hop_joins and all(all(k in j for k in ("_b#", "_a#", "_l#", "_s#")) for j in hop_joins)
