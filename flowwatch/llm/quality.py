@@ -159,8 +159,21 @@ def sample_windows(text, draw, count: int, size: int) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", cfg: QualityConfig = QualityConfig(),
         folds: int = 5):
     rows = training_rows(docs, labels, target, lambda c: fold(c, folds) == 0, cfg.sample_per_class).select(
-        sample_windows(F.col("text"), F.col("id"), cfg.windows, cfg.window_chars).alias("text"), "label").toArrow()
-    return train(rows["text"].to_pylist(), rows["label"].to_pylist(), cfg)
+        "id", sample_windows(F.col("text"), F.col("id"), cfg.windows, cfg.window_chars).alias("text"), "label")
+
+    def learn(batches):
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column(1).to_pylist()
+            marks += batch.column(2).to_pylist()
+        model = train(texts, marks, cfg)
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([model[0].astype("<f4").tobytes()], pa.binary()), pa.array([model[1]], pa.float64())],
+                                             ["weights", "bias"])
+
+    # the sample is bounded, so one task learns from it; the driver gets one float per bucket
+    found = rows.repartition(1).sortWithinPartitions("id").mapInArrow(learn, "weights binary, bias double").collect()
+    return (np.frombuffer(found[0].weights, "<f4"), found[0].bias) if found else None
 
 
 class Scorer:
