@@ -66,7 +66,7 @@ class Packer:
     the reducer and connect it to other tasks' stars.
     """
 
-    def __init__(self, buckets: int, limit: int = 3_000_000):
+    def __init__(self, buckets: int, limit: int = 2_000_000):
         self.buckets, self.limit = buckets, limit
         self.parts: list[np.ndarray] = []
         self.waiting = 0

@@ -98,6 +98,12 @@ class SpanHasher:
     def rolling(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _between(self.prefix, start, end)
 
+    def rolling_without(self, start: np.ndarray, end: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """``rolling`` of the spans with the character at ``gap`` left out."""
+        head = self.prefix[gap] - self.prefix[start]
+        tail = (self.prefix[end] - self.prefix[gap + 1]) * U64(_BASE_INV)
+        return mix64((head + tail) * _power_table("down", len(self.prefix))[start])
+
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         found = self.rolling(start, end)
         far, whole = self._whole(start, end)
