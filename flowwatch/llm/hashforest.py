@@ -12,7 +12,7 @@ vector that a third of the rows share costs one entry.  The planes are random; n
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, as query or as
 candidate; rows with a null vec_id neither; rows that repeat id and vector are one; a query is never its own candidate;
 vectors of different lengths are not compared; ties go to the smaller vec_id; with fewer candidates than k all are
-returned; an empty table gives no rows.
+returned; other columns are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ filters and layer are trained in numpy (Adam) on labelled text.  A text's predic
 log probabilities of all its windows, weighed by their bytes, so the whole text counts.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; with nothing to learn from
-every text is.  Ties go to the language first in code point order.  Repeated rows are scored alike; an empty
-table gives no rows.
+every text is.  Ties go to the language first in code point order.  Repeated rows are scored alike, very long texts whole, window by
+window; an empty table gives no rows; input columns named like the results give way to them.
 """
 
 from __future__ import annotations

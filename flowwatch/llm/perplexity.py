@@ -12,7 +12,8 @@ half-spread is the distance of the median from the quartile on that side.
 
 Defined results: a null text is empty; texts without words have no perplexity and fall to the base rules; a null
 language is a group of its own; a group with equal quartiles keeps the documents at the median;
-repeated rows are judged alike; an empty table gives no rows.
+repeated rows are judged alike, very long texts whole; columns but doc_id, text and lang are left out, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

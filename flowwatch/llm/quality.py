@@ -9,8 +9,9 @@ features of a word is computed once per distinct word.
 
 Defined results: an empty or null text has no features and gets the score of the zero average (the
 layer's bias); documents labelled with a null or any value but 0 and 1 are not learned from; without labels of
-both classes every score is 0.5.  Rows are scored one by one: repeated rows and ids are scored alike, an empty table
-gives no rows.
+both classes every score is 0.5.  Rows are scored one by one: repeated rows and ids are scored alike, very long texts whole; an
+empty table gives no rows.  An input column named like the result gives way to it in ``score``; ``keep_good`` returns all columns as
+they are.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ a string is scored without visiting landmarks, once per distinct word.
 
 Defined results: an empty or null text has no string and gets the value of a string without subsequences; labels
 other than 0 and 1 are not learned from; without labels of both classes every score is 0.  Repeated rows
-are scored alike; an empty table gives no rows.
+are scored alike, very long texts whole; an empty table gives no rows; an input column named like the result gives way to it.
 """
 
 from __future__ import annotations
