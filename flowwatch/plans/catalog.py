@@ -188,6 +188,12 @@ def q_first_crossing(spark, sf):
     return flat_candidates(rules.candidates(_valid(spark, sf), DRIVER_RULES))
 
 
+@register("candidate_event_time")
+def q_candidate_event_time(spark, sf):
+    """S4 for the candidates' own topic."""
+    return intake.event_time(rules.candidates(_valid(spark, sf), DRIVER_RULES)).select("deduplication_key", "generated_at", "event_time")
+
+
 @register("rule_window_final")
 def q_window_final(spark, sf):
     return rules.window_final(act.activity(_valid(spark, sf), DRIVER_RULES), DRIVER_RULES)

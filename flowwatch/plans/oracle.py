@@ -325,6 +325,8 @@ def build() -> dict[str, str]:
     q["rule_streaming"] = _q(*_rule_ctes("valid", STREAM_RULES, "r_"), body=f"SELECT {CAND_COLS} FROM r_cand")
     rc = _rule_ctes("valid", DRIVER_RULES, "r_")
     q["rule_first_crossing"] = _q(*rc, body=f"SELECT {CAND_COLS} FROM r_cand")
+    q["candidate_event_time"] = _q(*rc, body="""SELECT deduplication_key, generated_at,
+        make_timestamp(epoch_us(generated_at) // 1000 * 1000) AS event_time FROM r_cand""")
     tot = f"""tot AS (SELECT rule_type, key, currency, window_start, window_end, min_d, min_c, min_a, hashed,
           CAST(count(DISTINCT counterparty) AS INTEGER) AS distinct_accounts_count, count(*) AS transaction_count,
           CAST(sum(amount_minor) AS BIGINT) AS total_amount_minor FROM r_act GROUP BY ALL),
