@@ -82,7 +82,7 @@ def frequency_classes(docs: DataFrame, cfg: JoinConfig) -> np.ndarray:
             for one in sets_of(batch.column(0), cfg.width):
                 held.append(one)
                 waiting += len(one)
-                if waiting > 4_000_000:
+                if waiting > 2_000_000:
                     yield flush()
                     held, waiting = [], 0
         if waiting:
