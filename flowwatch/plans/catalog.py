@@ -319,8 +319,8 @@ def q_ledger_lookup(spark, sf):
     from flowwatch.functions import name_uuid
     key = name_uuid(F.lit(LOOKUP_ACCOUNT_NAME))   # constant-folded by Catalyst
     index, ranges = _ledger_index(spark, sf)
-    return ledger.lookup(index, ranges, "source", key, F.lit(LOOKUP_START).cast("timestamp_ntz"),
-                         F.lit(LOOKUP_END).cast("timestamp_ntz"))
+    return ledger.lookup_index(index, ranges, "source", key, F.lit(LOOKUP_START).cast("timestamp_ntz"),
+                               F.lit(LOOKUP_END).cast("timestamp_ntz"))
 
 
 # ---------------------------------------------------------------- graph

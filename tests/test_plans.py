@@ -91,7 +91,7 @@ def test_lookup_opens_few_files_for_every_key(spark, tmp_path):
     start, end = F.lit("2024-01-01").cast("timestamp_ntz"), F.lit("2024-02-01").cast("timestamp_ntz")
     for by, column in ledger.LOOKUP_COLUMNS.items():
         key = whole.where(F.col(column).isNotNull() & (F.col(column) != "")).agg(F.min(column)).first()[0]
-        found = ledger.lookup(index, ranges, by, key, start, end)
+        found = ledger.lookup_index(index, ranges, by, key, start, end)
         want = whole.where((F.col(column) == key) & (F.col("occurred_at") >= start) & (F.col("occurred_at") < end))
         assert sorted(map(tuple, found.select(whole.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
         p = formatted(found)
