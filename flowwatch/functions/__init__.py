@@ -1,7 +1,7 @@
 """Column expressions shared by the operators (all JVM-side, no UDFs)."""
 
 from flowwatch.functions.ids import (
-    arrival, is_canonical_uuid, name_uuid, not_blank, not_empty,
+    all_canonical, arrival, is_canonical_uuid, name_uuid, not_blank, not_empty, pack_uuid, unpack_uuid,
 )
 from flowwatch.functions.time import (
     epoch_micros, epoch_millis, shift_micros, tumbling_start,
@@ -9,7 +9,7 @@ from flowwatch.functions.time import (
 from flowwatch.functions.text import currency_ok, sorted_join
 
 __all__ = [
-    "arrival", "is_canonical_uuid", "name_uuid", "not_blank", "not_empty",
+    "all_canonical", "arrival", "is_canonical_uuid", "name_uuid", "not_blank", "not_empty", "pack_uuid", "unpack_uuid",
     "epoch_micros", "epoch_millis", "shift_micros", "tumbling_start",
     "currency_ok", "sorted_join",
 ]

@@ -145,3 +145,59 @@ def test_hub_meets_only_edges_of_its_amounts(events):
         cfg = CycleConfig(3, 86400, tol)
         two = [event("x", acct("A"), acct("B"), amount=1000, at=0), event("y", acct("B"), acct("A"), amount=1000, at=9)]
         assert len(paths(events, two, cfg)) == 1, tol
+
+
+def test_versions_of_all_lifetimes_have_few_levels(events):
+    """A frontier row is looked up once per level: versions that live a second to three days lie in seven."""
+    from flowwatch.operators import graph
+    A = acct("A")
+    cfg = CycleConfig(4, 259200, 50)
+    rows = [event(f"v{k}{i}", A, acct(f"B{k}"), at=0, arrival=i * 2 ** k) for k in range(18) for i in range(2)]
+    versions = graph.edge_versions(graph.processed(events(rows)))
+    out = cycles.with_degrees(cycles.edge_view(versions, cfg, True))[1]
+    assert max(len(r.e_out_levels) for r in out.collect()) <= 7
+
+
+def test_uuid_ids_travel_as_bytes_and_come_back(events):
+    """Paths are the same with ids that are UUIDs, that are not, and that are in part."""
+    n = [acct(f"N{i}") for i in range(4)]
+    at = [(0, 1, -30), (1, 2, -20), (2, 3, -10), (3, 0, 0), (1, 0, 5)]
+
+    def rows(name):
+        return [event(name(f"e{i}"), n[a], n[b], at=t, tx=name(f"t{i}")) for i, (a, b, t) in enumerate(at)]
+    want = {(("e3",), ("t0", "t1", "t2")), (("e4",), ("t0",))}
+    for name in (str, acct, lambda x: acct(x) if x.endswith("1") else x, lambda x: acct(x).upper()):
+        got = {((r.cand_event_id,), tuple(r.path_transactions)) for r in cycles.circular_flow(events(rows(name)), CFG).collect()}
+        assert got == {((name(e),), tuple(map(name, t))) for (e,), t in want}
+
+
+def test_trimming_masks_equal_plain_neighbours(events):
+    """Trimming by bit masks (several words of bands at a small tolerance) equals a plain search for neighbours."""
+    import random
+
+    from flowwatch.operators import graph
+    rng = random.Random(5)
+    n = [acct(f"M{i}") for i in range(6)]
+    for tol in (0, 10, 50):
+        cfg = CycleConfig(4, 86400, tol)
+        rows = [event(f"m{i}", *rng.sample(n, 2), amount=int(10 ** rng.uniform(0, 4)), at=rng.randrange(4 * 86400)) for i in range(150)]
+        ev = events(rows)
+        edges, cands = graph.edges(graph.processed(ev)), cycles.cycle_candidates(ev, cfg)
+        band, bucket = (lambda c: cycles._band(F.col(c), cfg)), (lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (86400 * 10 ** 6)))
+        t = {(True, r.src, r.dst, r.u, r.b) for r in edges.select("src", "dst", bucket("latest_occurred_at").alias("u"), band("total_amount_minor").alias("b")).collect()}
+        t |= {(False, r.cs, r.cd, r.u, r.bands[0]) for r in cands.select("cs", "cd", bucket("t").alias("u"), "bands").collect()}
+
+        def near(r, x, ahead):
+            d = x[3] - r[3] if ahead else r[3] - x[3]
+            if r[0] and x[0]:
+                return d in (0, 1) and abs(x[4] - r[4]) <= 2
+            if r[0]:
+                return x[3] - r[3] in (0, 1) and r[4] - x[4] in (0, 1, 2)
+            return x[0] and r[3] - x[3] in (0, 1) and x[4] - r[4] in (0, 1, 2)
+        for _ in range(2):
+            t = {r for r in t if any(x[1] == r[2] and near(r, x, True) for x in t) and any(x[2] == r[1] and near(r, x, False) for x in t)}
+        kept, left = cycles.trim(edges, cands, cfg, 2, -1.0)
+        got = kept.select("src", "dst", bucket("latest_occurred_at").alias("u"), band("total_amount_minor").alias("b")).distinct().collect()
+        assert {tuple(r) for r in got} == {r[1:] for r in t if r[0]}
+        got = left.select("cs", "cd", bucket("t").alias("u"), F.get("bands", F.lit(0)).alias("b")).distinct().collect()
+        assert {tuple(r) for r in got} == {r[1:] for r in t if not r[0]}
