@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowwatch.operators.rules import first_crossing
+from flowwatch.operators.rules import firing
 
 KEY = ["rule_type", "primary_account_id"]
 
@@ -24,7 +24,7 @@ def expected_alerts(activity: DataFrame, rules) -> DataFrame:
     at which the group reaches its thresholds.  Late rows and arrival order make the real alerts differ.
     """
     by_time = activity.withColumn("ingested_at", F.col("occurred_at"))
-    return first_crossing(by_time, rules).select(
+    return firing(by_time, rules).select(
         *KEY, F.col("deduplication_key").alias("scenario_id"), F.col("generated_at").alias("trigger_at"))
 
 

@@ -143,3 +143,44 @@ def test_expected_alerts_follow_event_time(events):
     rows = [event(f"e{i}", acct("A"), acct(f"D{i}"), at=i, arrival=10 * i + 3) for i in range(5)]
     e = evaluation.expected_alerts(activity(events(rows), (FO,)), (FO,)).collect()
     assert [r.trigger_at for r in e] == [T0.replace(second=4)]
+
+
+def test_late_rows_are_those_behind_the_stream_time(events):
+    """The look-up of closings drops exactly W9's rows, windows without events of their own included, and moves no row."""
+    import random
+    rng = random.Random(3)
+    rows, at = [], 0.0
+    for i in range(300):
+        at += rng.choice([0, 1, 5, 40, 200])
+        rows.append(event(f"r{i:03d}", acct(f"S{rng.randrange(4)}"), acct(f"D{rng.randrange(9)}"), at=at - rng.choice([0, 0, 10, 80, 500]), arrival=at,
+                          device=rng.choice([None, "", "dev-a"])))
+    cfgs = (FO, SD, RuleConfig("FAN_IN", 600, 0, 2))
+    act = activity(events(rows), cfgs)
+    late = {(r.rule_type, r.event_id) for r in rules.late_events(act, cfgs).collect()}
+    kept = rules.on_time(act, cfgs)
+    taken = {(r.rule_type, r.event_id) for r in kept.collect()}
+    assert late and not late & taken and late | taken == {(r.rule_type, r.event_id) for r in act.collect()}
+    p = kept._jdf.queryExecution().toString()
+    assert "Window" not in p.split("== Physical Plan ==")[1] and "hashpartitioning" not in p
+
+
+def test_candidates_are_the_same_with_ids_that_are_uuids(events):
+    """UUIDs travel as bytes; other texts, and a mix, as they are."""
+    def of(name):
+        rows = [event(name(f"e{i}"), acct("A"), acct(f"D{i % 6}"), at=i, tx=name(f"t{i}"), device="é-dev", ip="ip") for i in range(8)]
+        rows += [event(name(f"f{i}"), acct(f"S{i}"), acct("B"), at=i, tx=name(f"u{i}"), device="é-dev", ip="ip") for i in range(3)]
+        cfgs = (FO, FI, SD, SI)
+        got = {c.deduplication_key: c for c in rules.candidates(events(rows), cfgs).collect()}
+        flat = {(k, e.kind, e.value) for k in got for e in rules.evidence(events(rows), cfgs).where(F.col("deduplication_key") == k).collect()}
+        assert flat == {(k, "account", a) for k, c in got.items() for a in c.involved_accounts} | {
+            (k, "transaction", t) for k, c in got.items() for t in c.transaction_ids}
+        fired = rules.firing(activity(events(rows), cfgs), cfgs).collect()
+        assert {(f.deduplication_key, f.generated_at, f.trigger_event_id, f.primary_account_id) for f in fired} == {
+            (k, c.generated_at, c.trigger_event_id, c.primary_account_id) for k, c in got.items()}
+        return {k: (c.distinct_accounts_count, c.transaction_count, sorted(c.involved_accounts), set(c.transaction_ids), c.trigger_event_id) for k, c in got.items()}
+
+    plain, packed, mixed = of(str), of(acct), of(lambda x: acct(x) if x.endswith("1") else x)
+    assert set(plain) == set(packed) == set(mixed) and any("é-dev" in k for k in plain)
+    fan = next(k for k in plain if k.startswith("FAN_OUT"))
+    assert plain[fan][3] == {f"t{i}" for i in range(5)} and packed[fan][3] == {acct(f"t{i}") for i in range(5)}
+    assert plain[fan][4] == "e4" and packed[fan][4] == acct("e4") and plain[fan][:3] == packed[fan][:3] == mixed[fan][:3]
