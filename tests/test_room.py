@@ -62,6 +62,18 @@ def test_only_the_paths_of_a_search_stay(spark, events, search):
     assert "ca" in {r.cand_event_id for r in found.collect()}
 
 
+def test_what_trimming_keeps_is_gone_when_frontiers_grow(spark, events, monkeypatch):
+    before, seen, grown = kept_folders(spark), [], cycles._grown_parts
+
+    def watched(*args):
+        seen.append(sorted(f.rsplit("-", 1)[0] for f in kept_folders(spark) - before))
+        return grown(*args)
+
+    monkeypatch.setattr(cycles, "_grown_parts", watched)
+    assert "ca" in {r.cand_event_id for r in cycles.circular_flow(events(triangle()), CFG).collect()}
+    assert seen[0] == ["cycle"] * 3 + ["cycle-paths"]           # edges, their keys and the frontier
+
+
 def test_frontier_rows_keep_only_keys_that_an_edge_has(spark, events):
     d, e = acct("D"), acct("E")
     rows = events(triangle() + [event("de", d, e, at=0), event("ed", e, d, amount=10**9, at=1)])
