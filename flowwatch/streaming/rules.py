@@ -1,8 +1,9 @@
 """The first-crossing rule on a stream, without Python.
 
 ``groupBy(window, key, currency)`` keeps the arrivals of a group (evidence needs them until the rule fires, as in the
-reference's window store).  Whenever a group changes, its arrivals are sorted by ``(ingested_at, event_id)``
-and folded by ``aggregate()`` up to the first one that meets all thresholds; a group that has met them is sent again
+reference's window store).  Whether a group has the accounts and arrivals it needs is read without an order.  Only the arrivals of one
+that has are sorted, by ``(ingested_at, event_id)``, and the first that meets the thresholds is looked up (under an amount threshold,
+by a fold with ``aggregate()``); a group that has met them is sent again
 unchanged by later rows, and the sink's first-wins key (S6) makes it one candidate.  The watermark
 on ``occurred_at`` lags by the grace; Spark drops rows whose window has closed and the state of closed windows.
 
@@ -20,26 +21,37 @@ from flowwatch.config import RuleConfig
 from flowwatch.operators.activity import activity
 from flowwatch.operators.rules import CANDIDATE_OUT, identity
 
-_FOUND = "struct<accounts:array<string>,n:bigint,amount:bigint,hit:struct<ts:timestamp,id:string>>"
+_FOLD = "struct<accounts:array<string>,n:bigint,amount:bigint,hit:boolean>"
 
 
-def _first_crossing(arrivals: Column, cfg: RuleConfig) -> Column:
-    """Accounts, number and amount of the arrivals up to the first that meets the thresholds; ``hit`` is null if none does."""
+def _folded_place(arrivals: Column, cfg: RuleConfig) -> Column:
+    """``_place`` under an amount threshold: a fold up to the first arrival that meets all thresholds."""
     start = F.struct(F.array().cast("array<string>").alias("accounts"), F.lit(0).cast("bigint").alias("n"),
-                     F.lit(0).cast("bigint").alias("amount"), F.lit(None).cast("struct<ts:timestamp,id:string>").alias("hit"))
+                     F.lit(0).cast("bigint").alias("amount"), F.lit(False).alias("hit"))
 
     def step(held: Column, row: Column) -> Column:
         accounts = F.array_union(held["accounts"], F.array(row["counterparty"]))
         n, amount = held["n"] + 1, held["amount"] + row["amount_minor"]
-        meets = F.size(accounts) >= cfg.min_distinct
-        if cfg.min_count > 0:
-            meets = meets & (n >= cfg.min_count)
-        if cfg.min_amount > 0:
-            meets = meets & (amount >= cfg.min_amount)
-        moved = F.struct(accounts.alias("accounts"), n.alias("n"), amount.alias("amount"), F.when(meets, row["arr"]).alias("hit"))
-        return F.when(held["hit"].isNotNull(), held).otherwise(moved).cast(_FOUND)
+        meets = (F.size(accounts) >= cfg.min_distinct) & (n >= cfg.min_count) & (amount >= cfg.min_amount)
+        moved = F.struct(accounts.alias("accounts"), n.alias("n"), amount.alias("amount"), meets.alias("hit"))
+        return F.when(held["hit"], held).otherwise(moved).cast(_FOLD)
 
-    return F.aggregate(arrivals, start.cast(_FOUND), step)
+    return F.aggregate(arrivals, start.cast(_FOLD), step, lambda held: F.when(held["hit"], held["n"]))
+
+
+def _reached(arrivals: Column, cfg: RuleConfig) -> Column:
+    """Whether a group has the accounts and arrivals it needs, in whatever order they lie."""
+    return ((F.size(F.array_distinct(arrivals["counterparty"])) >= cfg.min_distinct)
+            & (F.size(arrivals) >= cfg.min_count))
+
+
+def _place(arrivals: Column, cfg: RuleConfig) -> Column:
+    """Place, from 1, of the first of the sorted arrivals of a group, ``_reached``, that meets the thresholds; null if none does."""
+    if cfg.min_amount > 0:
+        return _folded_place(arrivals, cfg)
+    accounts = arrivals["counterparty"]
+    last = F.get(F.array_distinct(accounts), F.lit(cfg.min_distinct - 1))
+    return F.greatest(F.array_position(accounts, last), F.lit(cfg.min_count).cast("bigint"))
 
 
 def stream_candidates(events: DataFrame, cfg: RuleConfig) -> DataFrame:
@@ -54,15 +66,22 @@ def stream_candidates(events: DataFrame, cfg: RuleConfig) -> DataFrame:
               .withWatermark("occurred_at", f"{cfg.grace_seconds} seconds")
               .groupBy(F.window("occurred_at", f"{cfg.window_seconds} seconds").alias("w"), "rule_type", "key", "currency")
               .agg(F.collect_list(row).alias("arrivals")))
-    found = (groups.withColumn("arrivals", F.array_sort("arrivals"))
-             .withColumn("found", _first_crossing(F.col("arrivals"), cfg)).where(F.col("found.hit").isNotNull()))
-    upto = F.filter("arrivals", lambda r: r["arr"] <= F.col("found.hit"))
+    found = (groups.where(_reached(F.col("arrivals"), cfg))
+             .withColumn("arrivals", F.sort_array("arrivals"))
+             .withColumn("n", _place(F.col("arrivals"), cfg)))
+    if cfg.min_amount > 0:
+        found = found.where(F.col("n").isNotNull())
+    found = found.withColumns({"upto": F.slice("arrivals", F.lit(1), F.col("n").cast("int")),
+                               "hit": F.get("arrivals", F.col("n").cast("int") - 1)["arr"]})
+    seen = F.filter("arrivals", lambda r: r["arr"] <= F.col("hit"))           # with repeated deliveries of the crossing event
+    accounts = F.array_distinct(F.col("upto")["counterparty"])
     flat = found.select(
         "rule_type", "key", "currency", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-        F.size("found.accounts").alias("distinct_accounts_count"), F.col("found.n").alias("transaction_count"),
-        F.col("found.amount").alias("total_amount_minor"), F.array_sort("found.accounts").alias("involved_accounts"),
-        F.array_sort(F.array_distinct(F.transform(upto, lambda r: r["transaction_id"]))).alias("transaction_ids"),
-        F.col("found.hit.ts").alias("generated_at"), F.col("found.hit.id").alias("trigger_event_id"))
+        F.size(accounts).alias("distinct_accounts_count"), F.col("n").alias("transaction_count"),
+        F.aggregate(F.col("upto")["amount_minor"], F.lit(0).cast("bigint"), lambda total, amount: total + amount).alias("total_amount_minor"),
+        F.sort_array(accounts).alias("involved_accounts"),
+        F.sort_array(F.array_distinct(seen["transaction_id"])).alias("transaction_ids"),
+        F.col("hit.ts").alias("generated_at"), F.col("hit.id").alias("trigger_event_id"))
     return identity(flat, (cfg,)).select(*CANDIDATE_OUT)
 
 

@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowwatch.config import RuleConfig
@@ -155,6 +156,41 @@ def test_streaming_rule_has_no_python(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("count, amount", [(0, 0), (6, 0), (0, 60_000), (7, 90_000)])
+def test_crossing_is_looked_up_for_all_thresholds(spark, count, amount):
+    """Repeated deliveries of the crossing event included; only an amount threshold needs a fold."""
+    valid = _valid_ts(spark)
+    valid = valid.unionByName(valid.where(F.crc32("event_id") % 3 == 0))
+    cfg = RuleConfig("FAN_IN", 604800, 15, 3, count, amount)
+    shown = rules.CANDIDATE_OUT
+    got = stream_candidates(valid, cfg).select(shown)
+    assert ("array_union" in got._jdf.queryExecution().optimizedPlan().toString()) == (amount > 0)
+    want = rules.candidates(valid, (cfg,), drop_late=False).select(shown)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+
+
+def test_sink_drops_held_keys_before_it_sorts(spark, tmp_path):
+    sink = IdempotentSink(str(tmp_path / "t"), ["k"], ["at"])
+    assert sink(spark.createDataFrame([("a", 2, [1]), ("a", 1, [2])], "k string, at int, v array<int>"), 0) == 1
+    later = spark.createDataFrame([("a", 0, [3]), ("b", 5, [4]), ("b", 4, [5])], "k string, at int, v array<int>")
+    new = sink.new_rows(later, 1)
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftAnti")
+    assert [tuple(r) for r in new.select("k", "at", "v").collect()] == [("b", 4, [5])]
+
+
+def test_replay_ends_without_an_empty_batch(spark, tmp_path):
+    from flowwatch.streaming.flows import replay_rules
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before, valid, cfg = spark.conf.get(setting), _valid_ts(spark), RuleConfig("FAN_OUT", 604800, 3 * 86400, 5)
+    found = replay_rules(valid, (cfg,), str(tmp_path), 1)
+    assert spark.conf.get(setting) == before
+    assert [f for f in os.listdir(tmp_path / "checkpoints" / "fan_out" / "commits") if f.isdigit()] == ["0"]
+    want = rules.candidates(valid, (cfg,), drop_late=False)
+    key = lambda df: {(r.deduplication_key, r.trigger_event_id) for r in df.collect()}
+    assert key(found) == key(want) != set()
+
+
 def test_rule_streams_one_query_per_rule(spark):
     from flowwatch.streaming.rules import start_rule_streams
     valid = _valid_ts(spark)
