@@ -186,6 +186,7 @@ def test_replay_ends_without_an_empty_batch(spark, tmp_path):
     found = replay_rules(valid, (cfg,), str(tmp_path), 1)
     assert spark.conf.get(setting) == before
     assert [f for f in os.listdir(tmp_path / "checkpoints" / "fan_out" / "commits") if f.isdigit()] == ["0"]
+    assert {"correlation_id", "schema_version"}.isdisjoint(spark.read.parquet(str(tmp_path / "events")).columns)
     want = rules.candidates(valid, (cfg,), drop_late=False)
     key = lambda df: {(r.deduplication_key, r.trigger_event_id) for r in df.collect()}
     assert key(found) == key(want) != set()
